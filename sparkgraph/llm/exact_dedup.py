@@ -97,8 +97,9 @@ class DigestIndex:
         stays = groups.join(self.read().hint("merge"), "digest").select(
             "digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("last.row")).alias("keep_row")
         )
-        # Both sides are shuffled here, so adaptive execution may split a hot digest's rows.
-        return digests.join(stays, "digest").select(
+        # As a table, `stays` has no partitioning of its own: both sides of the join are
+        # shuffled, and adaptive execution may split a hot digest's rows.
+        return digests.join(materialise(stays, "kept-digests"), "digest").select(
             "doc_id",
             "keep_id",
             "group_size",

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgraph.llm import chat, decontaminate, exact_dedup, segment_bpe, token_count
+from sparkgraph.llm import chat, decontaminate, exact_dedup, segment_bpe, substring_dedup, token_count
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +23,33 @@ def _sha(column) -> F.Column:
     return F.sha2(column, 256)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(_documents(spark, sf_dir))
+    return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", _sha("repeats.kept").alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), run AS (
+  SELECT r, i, hash(array_to_string(w[i : i + 34], ' ')) AS h, md5(array_to_string(w[i : i + 34], ' ')) AS m
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT h, m FROM run GROUP BY h, m HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM run SEMI JOIN twice USING (h, m)
+), word AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (r, i) GROUP BY r
+), n AS (
+  SELECT r, count(*) AS n_removed FROM gone GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -148,5 +175,5 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_token_count, op8_chat_format, op9_decontaminate, op10_bpe)}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op5_token_count, op8_chat_format, op9_decontaminate, op10_bpe)}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}

@@ -13,6 +13,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _paths: list[tuple[SparkSession, str]] = []
@@ -76,3 +77,19 @@ def local_path(uri: str) -> str | None:
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned input by the optimiser's statistics (file sizes; no job)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+_KINDS = {
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "float": T.FloatType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+}
+
+
+def flat_schema(text: str) -> T.StructType:
+    """A schema of simple columns from "name kind, ..."; unlike DDL it needs no session, so workers can import it."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(","))])
