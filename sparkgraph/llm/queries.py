@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgraph.llm import chat, decontaminate, exact_dedup, segment_bpe, substring_dedup, token_count
+from sparkgraph.llm import chat, decontaminate, exact_dedup, near_dedup, segment_bpe, substring_dedup, token_count
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +23,10 @@ def _sha(column) -> F.Column:
     return F.sha2(column, 256)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(_documents(spark, sf_dir))
     return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", _sha("repeats.kept").alias("kept_sha256"))
@@ -175,5 +179,5 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op5_token_count, op8_chat_format, op9_decontaminate, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_exact_dedup, op5_token_count, op8_chat_format, op9_decontaminate, op10_bpe)}
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}

@@ -121,7 +121,7 @@ def _windows(length: int):
     return run
 
 
-class _Bitmap:
+class Bitmap:
     """A bitmap over hashed keys with a fixed number of bits, for a cheap first test of membership."""
 
     def __init__(self, keys: DataFrame, column: str):
@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFram
         "key", F.struct("lo", "n", "anchor", F.when(F.col("places") > 1, 2).otherwise(1).alias("weight")).alias("place")
     )
     speaks = materialise(speaks.groupBy("key").agg(F.collect_list("place").alias("places")), "speaking")
-    texts = _Bitmap(speaks, "key").filter(docs.select("key", "text"), "key").join(speaks, "key")
+    texts = Bitmap(speaks, "key").filter(docs.select("key", "text"), "key").join(speaks, "key")
     windows = materialise(texts.mapInArrow(_windows(length), _WINDOWS), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "window")
     partly = windows.where("asks").join(twice, ["anchor", "window"], "left_semi").select("key", F.struct("first", (F.col("first") + length - 1).alias("last")).alias("span"))
@@ -236,7 +236,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, seed: int = 8, id_col: st
     text, ident = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     given = given.withColumn("key", F.xxhash64(F.col(ident), F.col(text)))
     spans = materialise(repeated_spans(given.select("key", F.col(text).alias("text")), length, seed), "spans")
-    bitmap = _Bitmap(spans, "key")
+    bitmap = Bitmap(spans, "key")
     hit = bitmap.filter(given, "key").join(spans, "key", "left").select(*names, "spans")
     clean = bitmap.filter(given, "key", inside=False).select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = T.StructType(
