@@ -76,7 +76,7 @@ def local_path(uri: str) -> str | None:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the scanned input by the optimiser's statistics (file sizes; no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 _KINDS = {
