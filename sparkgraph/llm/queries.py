@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgraph.llm import chat, decontaminate, exact_dedup, kneser_ney, near_dedup, segment_bpe, substring_dedup, token_count
+from sparkgraph.llm import chat, decontaminate, exact_dedup, kneser_ney, near_dedup, quality, segment_bpe, substring_dedup, token_count
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,6 +69,12 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scorer = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, scorer).select("doc_id", "quality.p_bad", "quality.p_toxic", "quality.kept")
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select(
         "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
@@ -195,5 +201,5 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_exact_dedup, op5_token_count, op6_lm_score, op8_chat_format, op9_decontaminate, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality, op5_token_count, op6_lm_score, op8_chat_format, op9_decontaminate, op10_bpe)}
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}

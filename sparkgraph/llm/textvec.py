@@ -100,6 +100,15 @@ def rows_by_bytes(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Ite
         i = j
 
 
+def hash_words(words: list[str]) -> np.ndarray:
+    """The hashes that :meth:`Words.hashes` gives these words."""
+    out = np.empty(len(words), np.uint64)
+    for i, word in enumerate(words):
+        data = np.frombuffer(word.encode(), np.uint8)
+        out[i] = run_hash(prefix_hash(_BYTE[data], BASE), np.array([0]), np.array([len(data)]))[0]
+    return out
+
+
 class Words:
     """The words of a slice: byte ``start`` and ``end``, first word of each row in ``first`` (n_rows + 1)."""
 
@@ -125,8 +134,8 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``lower`` folds A-Z first."""
+    def hashes(self, lower: bool = False, head: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``head`` bytes; ``lower`` folds A-Z first."""
         table = _BYTE[_LOWER] if lower else _BYTE
         out = np.empty(len(self), np.uint64)
         i = 0
@@ -134,7 +143,8 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, "right")))
             base = self.start[i]
             prefix = prefix_hash(table[self.data[base : self.end[j - 1]]], BASE)
-            out[i:j] = run_hash(prefix, self.start[i:j] - base, self.end[i:j] - base)
+            end = self.end[i:j] if head is None else np.minimum(self.end[i:j], self.start[i:j] + head)
+            out[i:j] = run_hash(prefix, self.start[i:j] - base, end - base)
             i = j
         return out
 
