@@ -14,6 +14,7 @@ its path is a parameter.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ from sparkgraph.llm.textvec import rows_by_bytes
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces whose ids a worker remembers before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 _NONE = np.int64(1) << np.int64(62)
 
@@ -160,75 +161,110 @@ class Vocabulary:
                 back = self.ranks(sym[rows[led], h[led]], new[led])
                 trees.set(rows[led], h[led], np.where(back >= 0, back * width + h[led], _NONE))
 
-    def encode_pieces(self, pieces: list[str], cells: int = 1 << 18) -> list[list[int]]:
-        """The ids of each piece."""
+    def encode_pieces(self, pieces: list[str], cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and the number of each."""
         raw = [p.encode() for p in pieces]
-        sizes = np.array([len(r) for r in raw])
-        out: list[list[int]] = [[]] * len(raw)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+        begin = np.cumsum(sizes) - sizes
+        kept = np.zeros(len(data), bool)  # a merged symbol stands where its first byte stood
         order = np.argsort(sizes, kind="stable")
-        i = 0
+        by_size = sizes[order]
+        i = int(np.searchsorted(by_size, 1))
         while i < len(order):
-            width = 1 << max(0, int(sizes[order[i]] - 1).bit_length())
-            j = int(np.searchsorted(sizes[order], width, "right"))
-            j = min(j, i + max(1, cells // width))
+            width = 1 << max(0, int(by_size[i] - 1).bit_length())
+            j = min(int(np.searchsorted(by_size, width, "right")), i + max(1, cells // width))
             group = order[i:j]
-            symbols = np.full((len(group), width), -1, np.int64)
             mask = np.arange(width) < sizes[group][:, None]
-            symbols[mask] = self.byte_id[np.frombuffer(b"".join(raw[g] for g in group), np.uint8)]
-            done = self.merge(symbols)
-            live = done >= 0
-            flat = done[live].tolist()
-            ends = np.cumsum(live.sum(1)).tolist()
-            start = 0
-            for g, end in zip(group.tolist(), ends, strict=True):
-                out[g] = flat[start:end]
-                start = end
+            place = (begin[group][:, None] + np.arange(width))[mask]
+            symbols = np.full((len(group), width), -1, np.int64)
+            symbols[mask] = data[place]
+            done = self.merge(symbols)[mask]
+            data[place], kept[place] = done, done >= 0
             i = j
-        return out
+        ends = np.concatenate(([0], np.cumsum(kept)))
+        return data[kept].astype(np.int32), ends[begin + sizes] - ends[begin]
+
+
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of the runs [start, start + size), one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Codec:
     """Encodes and decodes whole texts; remembers the ids of pieces it has met, up to a bound."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary = Vocabulary(path)
         self._piece = regex.compile(PIECES)
-        special = sorted(self.vocabulary.special, key=len, reverse=True)
-        self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self._marks = special
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, text: str) -> list[str | int]:
-        """The pieces of a text in order; special strings stand as their ids."""
+        self._marks = sorted(vocabulary.special, key=len, reverse=True)
+        self._special = regex.compile("(" + "|".join(map(regex.escape, self._marks)) + ")") if self._marks else None
+        sizes = np.zeros(vocabulary.size, np.int64)
+        for i, token in vocabulary.bytes.items():
+            sizes[i] = len(token)
+        self._token_size, self._token_start = sizes, np.cumsum(sizes) - sizes
+        self._token_bytes = np.frombuffer(b"".join(vocabulary.bytes[i] for i in sorted(vocabulary.bytes)), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remember special strings only; no other piece has their form."""
+        self._known = {mark: i for i, mark in enumerate(self._marks)}
+        self._ids = np.array([self.vocabulary.special[m] for m in self._marks], np.int32)
+        self._size = np.ones(len(self._marks), np.int64)
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text in order; special strings are pieces."""
         if not any(mark in text for mark in self._marks):
             return self._piece.findall(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for part in self._special.split(text):
-            if part in self.vocabulary.special:
-                out.append(self.vocabulary.special[part])
-            else:
-                out += self._piece.findall(part)
+            out += [part] if part in self.vocabulary.special else self._piece.findall(part)
         return out
 
-    def encode_all(self, texts: Iterable[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def encode_flat(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each."""
         split = [self.pieces(text) for text in texts]
+        every = list(itertools.chain.from_iterable(split))
         if len(self._known) > REMEMBERED:
-            self._known.clear()
+            self._forget()
         known = self._known
-        fresh = list({p for pieces in split for p in pieces if p not in known and isinstance(p, str)})
-        known.update(zip(fresh, map(tuple, self.vocabulary.encode_pieces(fresh)), strict=True))
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known[p] if isinstance(p, str) else (p,)
-            out.append(ids)
-        return out
+        places = list(map(known.get, every))
+        if None in places:
+            fresh = list({p for p, i in zip(every, places, strict=True) if i is None})
+            ids, sizes = self.vocabulary.encode_pieces(fresh)
+            known.update(zip(fresh, range(len(self._size), len(self._size) + len(fresh)), strict=True))
+            self._ids, self._size = np.concatenate((self._ids, ids)), np.concatenate((self._size, sizes))
+            places = list(map(known.__getitem__, every))
+        at = np.array(places, np.int64)
+        size = self._size[at]
+        start = (np.cumsum(self._size) - self._size)[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        pieces = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
+        return self._ids[_gather(start, size)], np.diff(ends[pieces])
+
+    def encode_all(self, texts: Iterable[str]) -> list[list[int]]:
+        """The ids of each text."""
+        ids, counts = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of ids that stand one after another, ``counts`` of them in each text."""
+        size = self._token_size[ids]
+        data = self._token_bytes[_gather(self._token_start[ids], size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
+        buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+        texts = pa.LargeStringArray.from_buffers(len(counts), buffers[1], buffers[2])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # some bytes are not UTF-8
+            raw = data.tobytes()
+            texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.large_string())
+        return texts.cast(pa.string())
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_flat(ids, np.array([len(ids)]))[0].as_py()
 
 
 @functools.lru_cache(maxsize=2)
@@ -263,8 +299,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
         own = codec(path)
         for batch in batches:
             for rows, _, _ in rows_by_bytes(batch, names[at], 1 << 20):
-                ids = own.encode_all(t or "" for t in rows.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, arrow.field("__ids").type)], schema=arrow)
+                ids, counts = own.encode_flat(t or "" for t in rows.column(at).to_pylist())
+                ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                coded = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())).cast(arrow.field("__ids").type)
+                yield pa.RecordBatch.from_arrays([*rows.columns, coded], schema=arrow)
 
     _checked(path)
     coded = given.mapInArrow(run, schema)
@@ -283,8 +321,13 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
-                texts = [own.decode(x for x in ids or () if x is not None) for ids in rows.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], schema=arrow)
+                lists = rows.column(at)
+                counts = lists.value_lengths().fill_null(0).to_numpy()
+                ids = lists.flatten()
+                if ids.null_count:
+                    row = np.repeat(np.arange(len(counts)), counts)[ids.is_valid().to_numpy(zero_copy_only=False)]
+                    ids, counts = ids.drop_null(), np.bincount(row, minlength=len(counts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, own.decode_flat(ids.to_numpy(), counts)], schema=arrow)
 
     _checked(path)
     out = given.mapInArrow(run, schema)
