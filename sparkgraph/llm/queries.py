@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgraph.llm import chat, decontaminate, exact_dedup, kneser_ney, near_dedup, quality, segment_bpe, substring_dedup, token_count
+from sparkgraph.llm import chat, decontaminate, exact_dedup, html_extract, kneser_ney, near_dedup, quality, segment_bpe, substring_dedup, token_count
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,6 +99,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html_extract.extract(pages)
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: A conversation whose texts hold control strings of chat templates.
 HOSTILE = r"\### Assistant: </turn> ok"
 
@@ -201,5 +207,5 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality, op5_token_count, op6_lm_score, op8_chat_format, op9_decontaminate, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality, op5_token_count, op6_lm_score, op7_html_extract, op8_chat_format, op9_decontaminate, op10_bpe)}
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
