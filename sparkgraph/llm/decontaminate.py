@@ -152,10 +152,11 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     shard_bytes: int = SHARD_BYTES,
+    out_col: str = "bench",
 ) -> DataFrame:
-    """Every row of ``docs`` with all its columns and a struct ``bench``.
+    """Every row of ``docs`` with all its columns and a struct in ``out_col``, which replaces a column of that name.
 
-    ``bench`` has ``n_words``, ``n_hit`` (words inside an occurrence of a
+    The struct has ``n_words``, ``n_hit`` (words inside an occurrence of a
     pattern), ``items`` (ids of the items found, sorted as strings),
     ``word_spans`` (first and last hit word of each run), ``spans`` (the same
     in code points of the original text) and ``contaminated``: some word is
@@ -180,4 +181,4 @@ def decontaminate(
     if min_share > 0 and abs(1 / min_share - round(1 / min_share)) < 1e-9:  # whole numbers, free of rounding
         contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / min_share) >= F.col("n_words"))
     bench = F.struct("n_words", "n_hit", "items", "word_spans", "spans", contaminated.alias("contaminated"))
-    return hits.select(*[F.col(k).alias(c) for k, c in zip(keep, docs.columns, strict=True)], bench.alias("bench"))
+    return hits.select(*[F.col(k).alias(c) for k, c in zip(keep, docs.columns, strict=True) if c != out_col], bench.alias(out_col))

@@ -363,8 +363,8 @@ def _tables(model: Model) -> Tables:
     return Tables(model)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row and column of ``docs`` with a struct ``lm``.
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "lm") -> DataFrame:
+    """Every row and column of ``docs`` with a struct in ``out_col``, which replaces a column of that name.
 
     It has ``n_tokens`` (words and the end), ``n_known`` (tokens met in
     training), ``base_score`` (log10 probability by add-one word frequencies),
@@ -389,5 +389,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, values)], schema=arrow)
 
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
-    lm = F.struct("n_tokens", "n_known", "base_score", "score", perplexity).alias("lm")
-    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], lm)
+    lm = F.struct("n_tokens", "n_known", "base_score", "score", perplexity).alias(out_col)
+    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != out_col], lm)

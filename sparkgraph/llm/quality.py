@@ -340,9 +340,10 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
     return Scorer(*fitted, quality_rates, toxicity_rates)
 
 
-def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Every row and column of ``docs`` with a struct ``quality``: ``p_bad``, ``p_toxic`` and ``kept``.
+def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """Every row and column of ``docs`` with a struct of ``p_bad``, ``p_toxic`` and ``kept`` in ``out_col``.
 
+    A column of the name ``out_col`` is replaced.
     ``kept`` says that both are below ``threshold``. Null and empty texts have
     the features of no words and are judged by them.
     """
@@ -365,6 +366,6 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str
     kept = (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold)
     judged = given.mapInArrow(run, schema)
     return judged.select(
-        *[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)],
-        F.struct("p_bad", "p_toxic", kept.alias("kept")).alias("quality"),
+        *[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != out_col],
+        F.struct("p_bad", "p_toxic", kept.alias("kept")).alias(out_col),
     )

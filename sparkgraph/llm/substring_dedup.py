@@ -219,12 +219,12 @@ def _cut(text_at: int, spans_at: int, n_keep: int, schema: pa.Schema):
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = 35, seed: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 35, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", out_col: str = "repeats") -> DataFrame:
     """Cut every passage of at least ``length`` words that stands elsewhere too, in the same document or another.
 
     Words are runs of bytes other than space and 0x09-0x0D, compared
-    unchanged. Returns every row and column of ``docs`` with ``repeats``, a
-    struct of ``n_words``, ``n_removed``, ``spans`` (first and last word of
+    unchanged. Returns every row and column of ``docs`` and, in ``out_col``
+    (which replaces a column of that name), a struct of ``n_words``, ``n_removed``, ``spans`` (first and last word of
     each maximal repeat, merged) and ``kept`` (the words left, joined by one
     space). All copies of a passage go. Windows are judged on the input, not on
     what is left. Null and empty texts have no words; texts of fewer words than
@@ -244,5 +244,5 @@ def substring_dedup(docs: DataFrame, length: int = 35, seed: int = 8, id_col: st
     )
     run = _cut(names.index(text), len(names), len(names), to_arrow_schema(schema))
     out = hit.mapInArrow(run, schema).unionByName(clean.mapInArrow(run, schema))
-    repeats = F.struct("n_words", "n_removed", "spans", "kept").alias("repeats")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], repeats)
+    repeats = F.struct("n_words", "n_removed", "spans", "kept").alias(out_col)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != out_col], repeats)
