@@ -208,7 +208,8 @@ def scan(context: Context, pattern: Pattern) -> Solution:
         for out, column in zip(columns, made, strict=True):
             out.append(column.alias(name))
     frames = [p.df.select(*(out or [F.lit(1).alias("__one")])) for p, out in zip(parts, columns, strict=True)]
-    if not frames:  # no type is registered
+    if not frames:  # no type is registered, so no variable has a value
+        bindings |= {v: Binding("iri", fresh("v")) for v in pattern.variables() if v not in bindings}
         names = [c for b in bindings.values() for c in b.columns()]
         frames = [context.spark.createDataFrame([], ", ".join(f"{n} string" for n in names) or "__one int")]
     return Solution(reduce(DataFrame.unionByName, frames), bindings)

@@ -1,0 +1,36 @@
+"""Small catalogues: people, instruments, pets, versions; and a reduced metadata schema."""
+
+from __future__ import annotations
+
+from sparkgraph.catalog import GraphCatalog
+
+EX = "http://example.org/"
+P = f"PREFIX ex: <{EX}>\n"
+
+
+def catalog(types: dict, absence: list | None = None) -> GraphCatalog:
+    return GraphCatalog.from_spec({"prefixes": {"ex": EX}, "types": types, "absence": absence or []})
+
+
+PERSON = {"ex:Person": {"fields": {"name": ["ex:name", "string"], "age": ["ex:age", "integer"]}}}
+INSTRUMENT = {"ex:Instrument": {"fields": {"model": ["ex:model", "string"], "tags": ["ex:tags", "string[]"]}}}
+PETS = {
+    "ex:Owner": {"fields": {"name": ["ex:name", "string"], "pet": ["ex:pet", "ex:Cat|ex:Dog"]}, "id": "id"},
+    "ex:Cat": {"fields": {"call": ["ex:call", "string"]}, "id": "id"},
+    "ex:Dog": {"fields": {"call": ["ex:call", "string"], "age": ["ex:age", "integer"]}, "id": "id"},
+}
+FAMILY = {
+    "ex:Parent": {"fields": {"child": ["ex:hasChild", "ex:Child"]}},
+    "ex:Child": {"fields": {"timestamp": ["ex:timestamp", "datetime"]}},
+    "ex:Sibling": {"fields": {"timestamp": ["ex:timestamp", "datetime"]}},
+}
+VERSIONS = {
+    "ex:Alpha": {"fields": {"spec": ["ex:spec", "string"], "next": ["ex:nextVersionOf", "ex:Alpha[]"]}},
+    "ex:Beta": {"fields": {"next": ["ex:nextVersionOf", "ex:Beta[]"]}},
+    "ex:Gamma": {"fields": {"next": ["ex:nextVersionOf", "ex:Alpha"]}},
+}
+ITEMS = {
+    "ex:Item": {"fields": {"link": ["ex:link", "string"], "deprecated_by": ["ex:deprecatedBy", "ex:Item"]}},
+    "ex:Versioner": {"fields": {"is_next": ["ex:isNextVersionOf", "ex:Item"]}},
+}
+ITEM_ABSENCE = [["ex:isNextVersionOf", "ex:Item", ["deprecated_by"]]]

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import pytest
+
+from sparkgraph.errors import ParseError, UnboundVariables
+from sparkgraph.sparql.parser import parse
+from sparkgraph.terms import RDF_TYPE, XSD, Iri, Literal, Var
+
+
+def test_basic_select():
+    q = parse("PREFIX ex: <http://e/> SELECT ?n WHERE { ?s ex:name ?n ; ex:age 30 , 31 . }")
+    assert q.select == [Var("n")] and [str(t.object) for t in q.where.triples] == ["?n", "30", "31"]
+    assert q.where.triples[1].object == Literal("30", XSD + "integer")
+
+
+def test_a_base_and_comments():
+    q = parse("BASE <http://e/> # SELECT nothing\nSELECT * { <x> a <T> }")
+    (t,) = q.where.triples
+    assert (t.subject, t.predicate, t.object) == (Iri("http://e/x"), Iri(RDF_TYPE), Iri("http://e/T"))
+    assert q.columns() == []
+
+
+def test_literals():
+    q = parse('SELECT ?s { ?s <p> "a\\"b\\u0041"@en , \'\'\'x\'y\'\'\' , 1.5 , 2e3 , true , "7"^^<http://www.w3.org/2001/XMLSchema#integer> }')
+    got = [(t.object.lex, t.object.datatype.rpartition("#")[2]) for t in q.where.triples]
+    assert got == [('a"bA', "string"), ("x'y", "string"), ("1.5", "decimal"), ("2e3", "double"), ("true", "boolean"), ("7", "integer")]
+
+
+def test_blank_nodes_are_hidden_and_labels_co_refer():
+    q = parse("SELECT * { ?s <p> [] ; <q> _:b . _:b <r> ?x . [ <t> ?y ] <u> ?s }")
+    assert [v.name for v in q.columns()] == ["s", "x", "y"]
+    assert q.where.triples[1].object == q.where.triples[2].subject
+
+
+def test_collections_and_paths():
+    q = parse("SELECT ?s { ?s <p>/^<q> ?o ; <l> (1 2) }")
+    assert q.where.triples[0].object == q.where.triples[1].object
+    assert sum(t.predicate.value.endswith(("first", "rest")) for t in q.where.triples if isinstance(t.predicate, Iri)) == 4
+
+
+def test_modifiers():
+    q = parse("SELECT DISTINCT ?s { ?s <p> ?o } ORDER BY DESC(?o) ?s LIMIT 5 OFFSET 2")
+    assert q.distinct and q.order == [(Var("o"), True), (Var("s"), False)] and (q.limit, q.offset) == (5, 2)
+    assert parse("SELECT REDUCED ?s { ?s <p> ?o }").distinct is False
+
+
+def test_count():
+    assert parse("SELECT (COUNT(*) AS ?n) { ?s <p> ?o }").count == "n"
+    assert parse("SELECT (count (*)) { ?s <p> ?o }").count == "count"
+
+
+def test_values_and_nested_groups():
+    q = parse('SELECT * { { ?s <p> ?o } { ?s <q> ?r } VALUES (?o ?x) { (1 UNDEF) (<i> "a") } }')
+    assert len(q.where.triples) == 2 and q.where.values.rows[0][1] is None
+    assert parse("SELECT ?o { ?s <p> ?o } VALUES ?o { 1 2 }").where.values.rows == [[Literal("1", XSD + "integer")], [Literal("2", XSD + "integer")]]
+
+
+def test_not_exists():
+    q = parse("SELECT ?s { ?s <p> ?o FILTER (NOT EXISTS { ?s <q> ?x } && NOT EXISTS { ?s <r> ?x }) FILTER NOT EXISTS { ?y <t> ?s } }")
+    assert len(q.where.absent) == 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ASK { ?s <p> ?o }",
+        "CONSTRUCT { ?s <p> ?o } WHERE { ?s <p> ?o }",
+        "SELECT ?s { OPTIONAL { ?s <p> ?o } }",
+        "SELECT ?s { { ?s <p> ?o } UNION { ?s <q> ?o } }",
+        "SELECT ?s { ?s <p> ?o MINUS { ?s <q> ?o } }",
+        "SELECT ?s { GRAPH <g> { ?s <p> ?o } }",
+        "SELECT ?s { ?s <p> ?o BIND (1 AS ?x) }",
+        "SELECT ?s { SERVICE <x> { ?s <p> ?o } }",
+        "SELECT ?s { ?s <p>+ ?o }",
+        "SELECT ?s { ?s <p>|<q> ?o }",
+        "SELECT ?s { ?s !<p> ?o }",
+        "SELECT ?s { ?s <p> ?o FILTER (?o > 3) }",
+        "SELECT ?s { ?s <p> ?o FILTER EXISTS { ?s <q> ?x } }",
+        "SELECT ?s { ?s <p> ?o } GROUP BY ?s",
+        "SELECT (SUM(?o) AS ?x) { ?s <p> ?o }",
+        "SELECT (COUNT(?o) AS ?x) { ?s <p> ?o }",
+        "SELECT (?o AS ?x) { ?s <p> ?o }",
+        "SELECT ?s { ?s <p> ?o } ORDER BY (?o + 1)",
+        "SELECT ?s { ?s <p> ?o VALUES ?o { 1 } VALUES ?s { <a> } }",
+        "SELECT ?s { { SELECT ?s { ?s <p> ?o } } }",
+        "SELECT ?s { ?s ex:p ?o }",
+        "SELECT ?s { ?s <p> ?o",
+        "SELECT ?s { 3 <p> ?s }",
+        "SELECT ?s { ?s <p> ?o } LIMIT x",
+        "",
+    ],
+)
+def test_rejected(text):
+    with pytest.raises(ParseError):
+        parse(text)
+
+
+@pytest.mark.parametrize("text", ["SELECT ?x { ?s <p> ?o }", "SELECT ?s { ?s <p> ?o } ORDER BY ?z", "SELECT ?x { ?s <p> ?o FILTER NOT EXISTS { ?s <q> ?x } }"])
+def test_unbound(text):
+    with pytest.raises(UnboundVariables):
+        parse(text)
+
+
+def test_values_bind():
+    assert parse("SELECT ?x { VALUES ?x { 1 } }").select == [Var("x")]
