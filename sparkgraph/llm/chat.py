@@ -7,8 +7,9 @@ merged by an array aggregation, and the blocks are concatenated:
     <role>\\n text <next> text </turn>\\n   a block of several turns
 
 (without the blanks shown around texts and marks). Inside roles and texts ``&``
-and ``<`` are written ``&amp;`` and ``&lt;``, so no control string can occur
-there and :func:`parse` gives the turns back unchanged.
+and ``<`` are written ``&amp;`` and ``&lt;``, and in roles ``>`` as ``&gt;``, so
+no control string can occur there and :func:`parse` gives the turns back
+unchanged.
 """
 
 from __future__ import annotations
@@ -23,6 +24,14 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(">"), F.lit("&gt;"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("&gt;"), F.lit(">")))
+
+
 def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
@@ -50,7 +59,7 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
         lambda i: F.struct(
             F.when(
                 (i > 0) & (F.get("turns", i - 1)["role"] == F.get("turns", i)["role"]), F.lit(NEXT)
-            ).otherwise(F.concat(F.lit(OPEN), escape(F.get("turns", i)["role"]), F.lit(SHUT))).alias("head"),
+            ).otherwise(F.concat(F.lit(OPEN), escape_role(F.get("turns", i)["role"]), F.lit(SHUT))).alias("head"),
             escape(F.get("turns", i)["text"]).alias("body"),
             F.when(
                 (i < F.size("turns") - 1) & (F.get("turns", i + 1)["role"] == F.get("turns", i)["role"]), F.lit("")
@@ -97,7 +106,7 @@ def parse(chats: DataFrame) -> DataFrame:
             lambda b: F.transform(
                 F.split(F.substr(b, F.instr(b, F.lit(SHUT)) + F.lit(len(SHUT))), F.lit(NEXT), -1),
                 lambda t: F.struct(
-                    unescape(F.substr(b, F.lit(len(OPEN) + 1), F.instr(b, F.lit(SHUT)) - F.lit(len(OPEN) + 1))).alias("role"),
+                    unescape_role(F.substr(b, F.lit(len(OPEN) + 1), F.instr(b, F.lit(SHUT)) - F.lit(len(OPEN) + 1))).alias("role"),
                     unescape(t).alias("text"),
                 ),
             ),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import flat_schema, input_bytes, local_path, new_path
+from sparkgraph.llm.shared import flat_schema, local_path, new_path, text_bytes
 from sparkgraph.llm.textvec import Words, mix, rows_by_bytes
 
 #: Hashes that stand for the place before the first word, and for the end.
@@ -288,7 +288,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "kneser-ney")
-    bits = max(3, (input_bytes(docs) // shard_bytes).bit_length())
+    bits = max(3, (text_bytes(docs, text_col) // shard_bytes).bit_length())
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(bits), _PACKED)
     pairs = packed.groupBy("shard").applyInArrow(_add_pairs(folder, bits), _PACKED)
     stats = pairs.groupBy("shard").applyInArrow(_add_words(folder), _STATS)

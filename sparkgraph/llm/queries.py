@@ -138,7 +138,7 @@ WITH t AS (
 ), m AS (
   SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 AS joined,
     length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS body,
-    length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) AS name
+    length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS name
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,

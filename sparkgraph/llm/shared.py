@@ -13,6 +13,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
@@ -74,9 +75,12 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the scanned input by the optimiser's statistics (file sizes; no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """About how many bytes a column of texts has: by the optimiser's file sizes, or counted where it knows none."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 _KINDS = {
