@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges are harmless; no edges give no rows.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), "edges")
+    both = materialise(both, "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
