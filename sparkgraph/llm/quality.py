@@ -33,6 +33,9 @@ BITS = 20
 #: Documents that the scorers are fitted on, at most; votes and posteriors cover all.
 MAX_TRAIN = 12_000
 
+#: Bytes of text whose features are made at once.
+SLICE = 1 << 20
+
 #: How often a human label is taken to be right.
 HUMAN_ACCURACY = 0.99
 
@@ -262,7 +265,7 @@ _VOTES = flat_schema("key long, quality string, toxicity string")
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in rows_by_bytes(batch, "text"):
+        for rows, data, offsets in rows_by_bytes(batch, "text", SLICE):
             stats, n = statistics(data, offsets)
             said = [
                 ["".join(map(str, v)) for v in votes(stats, n, labellers).tolist()] for labellers in (QUALITY, TOXICITY)
@@ -272,7 +275,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in rows_by_bytes(batch, "text"):
+        for rows, data, offsets in rows_by_bytes(batch, "text", SLICE):
             lists = []
             for ids, first in (form_features(data, offsets), word_features(data, offsets)):
                 lists.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)))
@@ -356,7 +359,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            for rows, data, offsets in rows_by_bytes(batch, text):
+            for rows, data, offsets in rows_by_bytes(batch, text, SLICE):
                 out = []
                 for each, (ids, first) in zip(w, (form_features(data, offsets), word_features(data, offsets)), strict=True):
                     sums = np.concatenate(([0.0], np.cumsum(each[ids], dtype=float)))

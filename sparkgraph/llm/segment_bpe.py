@@ -32,8 +32,8 @@ from sparkgraph.llm.textvec import rows_by_bytes
 #: Fixed by the file format: how byte-level BPE splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces whose ids a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+#: Pieces whose ids a worker remembers; beyond, it forgets all but the first half, among which the frequent ones are.
+REMEMBERED = 200_000
 
 _NONE = np.int64(1) << np.int64(62)
 
@@ -204,14 +204,19 @@ class Codec:
             sizes[i] = len(token)
         self._token_size, self._token_start = sizes, np.cumsum(sizes) - sizes
         self._token_bytes = np.frombuffer(b"".join(vocabulary.bytes[i] for i in sorted(vocabulary.bytes)), np.uint8)
-        self._forget()
-
-    def _forget(self) -> None:
-        """Remember special strings only; no other piece has their form."""
+        # Places of known pieces, and the ids of all of them one after another. Special strings are known first;
+        # no other piece has their form.
         self._known = {mark: i for i, mark in enumerate(self._marks)}
-        self._ids = np.array([self.vocabulary.special[m] for m in self._marks], np.int32)
+        self._ids = np.array([vocabulary.special[m] for m in self._marks], np.int32)
         self._size = np.ones(len(self._marks), np.int64)
 
+    def _forget(self) -> None:
+        """Keep the pieces that were met first; their places stay."""
+        n = len(self._marks) + REMEMBERED // 2
+        self._known = dict(itertools.islice(self._known.items(), n))
+        self._ids = self._ids[: int(self._size[:n].sum())].copy()
+        self._size = self._size[:n].copy()
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text in order; special strings are pieces."""
         if not any(mark in text for mark in self._marks):
