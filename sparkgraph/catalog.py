@@ -69,7 +69,9 @@ class ResourceType:
         return next((f for f in self.fields if f.predicate == predicate), None)
 
 
-Source = Callable[[SparkSession, ResourceType], DataFrame]
+#: Gives the rows of a type. The last argument names the columns that the query reads (None: all), so that a
+#: source need not derive the others; more columns than these do no harm.
+Source = Callable[[SparkSession, ResourceType, frozenset[str] | None], DataFrame]
 
 
 @dataclass
@@ -92,8 +94,11 @@ class GraphCatalog:
             self._sources[self.type(iri).iri] = source
         return self
 
-    def rows(self, spark: SparkSession, iri: str) -> DataFrame:
-        return self._sources[iri](spark, self.types[iri])
+    def rows(self, spark: SparkSession, iri: str, columns: Iterable[str] | None = None) -> DataFrame:
+        """The rows of a type with its subject and id, and at least these columns."""
+        t = self.types[iri]
+        needed = None if columns is None else frozenset((*columns, t.subject_column, t.id_column))
+        return self._sources[iri](spark, t, needed)
 
     def type(self, iri: str) -> ResourceType:
         if iri not in self.types:

@@ -69,7 +69,7 @@ def with_iri(context: Context, solution: Solution, var: Var) -> Solution:
     for type_iri in b.types:
         t = context.catalog.type(type_iri)
         name, key = fresh("iri"), fresh("key")
-        rows = context.catalog.rows(context.spark, type_iri).select(F.col(t.id_column).cast("string").alias(key), F.col(t.subject_column).alias(name))
+        rows = context.catalog.rows(context.spark, type_iri, ()).select(F.col(t.id_column).cast("string").alias(key), F.col(t.subject_column).alias(name))
         df = df.join(rows, df[b.key] == rows[key], "left").drop(key)
         found.append(name)
     iri = fresh("iri")

@@ -44,11 +44,11 @@ class _TypeScan:
 
     def __init__(self, context: Context, pattern: Pattern, type_: ResourceType):
         self.context, self.type = context, type_
-        rows = context.catalog.rows(context.spark, type_.iri)
         used = {f.column for f in (type_.field(p) for p, _ in pattern.constraints) if f}
         if pattern.scans:
             used |= {f.column for f in type_.fields}
         used |= pattern.null_columns.get(type_.iri, set())
+        rows = context.catalog.rows(context.spark, type_.iri, used)
         self.names = {c: f"__f{i}" for i, c in enumerate(sorted(used))}
         self.df = rows.select(
             F.col(type_.subject_column).alias(_SUBJECT),
@@ -104,7 +104,7 @@ class _TypeScan:
         parts = []
         for target in field.targets:
             t = self.context.catalog.type(target)
-            rows = self.context.catalog.rows(self.context.spark, target)
+            rows = self.context.catalog.rows(self.context.spark, target, ())
             parts.append(rows.where(F.col(t.subject_column) == iri).select(F.col(t.id_column).cast("string").alias("__target")))
         return reduce(DataFrame.union, parts)
 
@@ -136,7 +136,7 @@ class _TypeScan:
             for targets, number in ranges.items():
                 for target in targets:
                     t = self.context.catalog.type(target)
-                    rows = self.context.catalog.rows(self.context.spark, target)
+                    rows = self.context.catalog.rows(self.context.spark, target, ())
                     parts.append(rows.select(F.lit(number).alias("__range"), F.col(t.id_column).cast("string").alias("__key"), F.col(t.subject_column).alias("__iri")))
             found = reduce(DataFrame.union, parts)
             iri = fresh("iri")

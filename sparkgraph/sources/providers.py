@@ -1,4 +1,4 @@
-"""Sources: functions from (session, type) to the rows of the type's table.
+"""Sources: functions from (session, type, columns) to the rows of the type's table.
 
 Rows need the type's subject and id columns and its fields' columns. Scans
 select only the columns a query uses, and Catalyst pushes that and the filters
@@ -20,12 +20,12 @@ from sparkgraph.functions.terms import SPARK_TYPES
 
 def from_parquet(folder: str, suffix: str = ".parquet", format: str = "parquet") -> Source:
     """One file or folder a type, named by its table; any format of Spark's readers."""
-    return lambda spark, type_: spark.read.format(format).load(f"{folder}/{type_.table}{suffix}")
+    return lambda spark, type_, columns=None: spark.read.format(format).load(f"{folder}/{type_.table}{suffix}")
 
 
 def from_tables(database: str = "") -> Source:
     """Tables or views of the session's catalogue."""
-    return lambda spark, type_: spark.table(f"{database}.{type_.table}" if database else type_.table)
+    return lambda spark, type_, columns=None: spark.table(f"{database}.{type_.table}" if database else type_.table)
 
 
 def from_jdbc(url: str, properties: Mapping[str, str] | None = None, partitions: Mapping[str, tuple[str, int, int, int]] | None = None) -> Source:
@@ -35,7 +35,7 @@ def from_jdbc(url: str, properties: Mapping[str, str] | None = None, partitions:
     bound and the number of parallel reads; without it a table is read by one.
     """
 
-    def rows(spark: SparkSession, type_: ResourceType) -> DataFrame:
+    def rows(spark: SparkSession, type_: ResourceType, columns: frozenset[str] | None = None) -> DataFrame:
         reader = spark.read.format("jdbc").options(**dict(properties or {})).option("url", url).option("dbtable", type_.table)
         if partitions and type_.table in partitions:
             column, low, high, count = partitions[type_.table]
@@ -47,7 +47,7 @@ def from_jdbc(url: str, properties: Mapping[str, str] | None = None, partitions:
 
 def from_dataframes(frames: Mapping[str, DataFrame]) -> Source:
     """Frames by table name."""
-    return lambda spark, type_: frames[type_.table]
+    return lambda spark, type_, columns=None: frames[type_.table]
 
 
 def schema_of(type_: ResourceType) -> T.StructType:
@@ -60,7 +60,7 @@ def schema_of(type_: ResourceType) -> T.StructType:
 def from_records(records: Mapping[str, Iterable[Mapping[str, Any]]]) -> Source:
     """Rows held in memory, by table name; a column that a record lacks is null."""
 
-    def rows(spark: SparkSession, type_: ResourceType) -> DataFrame:
+    def rows(spark: SparkSession, type_: ResourceType, columns: frozenset[str] | None = None) -> DataFrame:
         schema = schema_of(type_)
         return spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in records.get(type_.table, ())], schema)
 

@@ -14,7 +14,7 @@ from sparkgraph.sources.providers import schema_of
 def from_parquet_stream(folder: str, growing: Collection[str], suffix: str = "") -> Source:
     """Like the Parquet source, but the tables named in ``growing`` are read as streams of the files that arrive."""
 
-    def rows(spark: SparkSession, type_: ResourceType) -> DataFrame:
+    def rows(spark: SparkSession, type_: ResourceType, columns: frozenset[str] | None = None) -> DataFrame:
         path = f"{folder}/{type_.table}{suffix}"
         if type_.table in growing:
             return spark.readStream.schema(schema_of(type_)).parquet(path)

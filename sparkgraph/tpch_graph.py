@@ -86,34 +86,36 @@ def tpch_catalog(sf_dir: str) -> GraphCatalog:
     def table(spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def orders(spark: SparkSession) -> DataFrame:
+    def orders(spark: SparkSession, columns: frozenset[str] | None) -> DataFrame:
+        """Orders; what other tables or rows give is joined only where a query reads it."""
         rows = table(spark, "orders")
-        parts = (
-            table(spark, "lineitem")
-            .groupBy(F.col("l_orderkey").alias("__order"))
-            .agg(F.array_sort(F.collect_set(_id("part", "l_partkey"))).alias("hasPart"))
-        )
-        # The order after this one, where that is a new version of it.
         key = F.col("o_orderkey")
-        later = rows.where((key % 10 == 0) & (key > 0)).select((key - 1).alias("__key"), _id("order", "o_orderkey").alias("deprecatedBy"))
-        return (
-            rows.join(parts, F.col("o_orderkey") == F.col("__order"), "left")
-            .join(later, F.col("o_orderkey") == F.col("__key"), "left")
-            .select(
-                _id("order", "o_orderkey").alias("_id"),
-                _id("customer", "o_custkey").alias("customer"),
-                F.col("o_orderstatus").alias("status"),
-                F.col("o_totalprice").cast("double").alias("total"),
-                F.col("o_orderdate").alias("placed"),
-                F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
-                .when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
-                .alias("updated"),
-                F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"),
-                "hasPart",
-                F.when((F.col("o_orderkey") > 0) & (F.col("o_orderkey") % 10 == 0), F.array(_id("order", F.col("o_orderkey") - 1))).alias("nextVersionOf"),
-                "deprecatedBy",
+        out = [
+            _id("order", "o_orderkey").alias("_id"),
+            _id("customer", "o_custkey").alias("customer"),
+            F.col("o_orderstatus").alias("status"),
+            F.col("o_totalprice").cast("double").alias("total"),
+            F.col("o_orderdate").alias("placed"),
+            F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
+            .when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+            .alias("updated"),
+            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"),
+            F.when((key > 0) & (key % 10 == 0), F.array(_id("order", key - 1))).alias("nextVersionOf"),
+        ]
+        if columns is None or "hasPart" in columns:
+            parts = (
+                table(spark, "lineitem")
+                .groupBy(F.col("l_orderkey").alias("__order"))
+                .agg(F.array_sort(F.collect_set(_id("part", "l_partkey"))).alias("hasPart"))
             )
-        )
+            rows = rows.join(parts, key == F.col("__order"), "left")
+            out.append(F.col("hasPart"))
+        if columns is None or "deprecatedBy" in columns:
+            # The order after this one, where that is a new version of it.
+            later = table(spark, "orders").where((key % 10 == 0) & (key > 0)).select((key - 1).alias("__key"), _id("order", "o_orderkey").alias("deprecatedBy"))
+            rows = rows.join(later, key == F.col("__key"), "left")
+            out.append(F.col("deprecatedBy"))
+        return rows.select(*out)
 
     rows: dict[str, Callable[[SparkSession], DataFrame]] = {
         "Region": lambda s: table(s, "region").select(_id("region", "r_regionkey").alias("_id"), F.col("r_name").alias("name")),
@@ -141,7 +143,6 @@ def tpch_catalog(sf_dir: str) -> GraphCatalog:
             F.col("p_retailprice").cast("double").alias("price"),
             F.split("p_name", " ").alias("words"),
         ),
-        "Order": orders,
         "LineItem": lambda s: table(s, "lineitem").select(
             _id("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("_id"),
             _id("order", "l_orderkey").alias("order"),
@@ -160,7 +161,8 @@ def tpch_catalog(sf_dir: str) -> GraphCatalog:
         ),
     }
 
-    def source(spark: SparkSession, type_: ResourceType) -> DataFrame:
-        return rows[type_.table](spark).withColumn("_subject", F.concat(F.lit(BASE), "_id"))
+    def source(spark: SparkSession, type_: ResourceType, columns: frozenset[str] | None = None) -> DataFrame:
+        made = orders(spark, columns) if type_.table == "Order" else rows[type_.table](spark)
+        return made.withColumn("_subject", F.concat(F.lit(BASE), "_id"))
 
     return GraphCatalog.from_spec(SPEC).bind(source)
