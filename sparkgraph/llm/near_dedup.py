@@ -38,7 +38,10 @@ from sparkgraph.llm.textvec import RUN, Words, mix, prefix_hash, rows_by_bytes,
 #: P(more than i darts) for a Poisson number with mean one.
 _MORE = [1 - sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(16)]
 #: Members of a bucket that are compared with the rest, round by round; the last round is for all.
-ROUNDS = (8, 64, math.inf)
+ROUNDS = (16, math.inf)
+
+#: Members of a large bucket that are compared with as many others in one task.
+BLOCK = 512
 
 #: Coordinates of a sketch.
 SKETCH = 1024
@@ -207,16 +210,61 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("key"), pa.ListArray.from_arrays(ends, pa.array(packed.ravel()))], names=["key", "sketch"])
 
 
-def _alike(a: str, b: str, threshold: float):
-    """Whether two sketches agree often enough for ``threshold``; a pair at it fails once in some 30,000."""
+def _least_agreement(threshold: float) -> int:
+    """Coordinates in which two sketches must agree; a pair at the threshold fails that once in some 30,000."""
     expected = threshold + (1 - threshold) / 4
-    least = expected - 4 * math.sqrt(expected * (1 - expected) / SKETCH)
+    return math.ceil(SKETCH * expected - 4 * math.sqrt(SKETCH * expected * (1 - expected)))
+
+
+def _near(threshold: float):
+    """Pairs of a pack of whole buckets, or of two blocks of a large one: of different classes, met here first, with sketches alike."""
+    least = _least_agreement(threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c).combine_chunks() for c in table.column_names}
+        bucket, key, label, place, asks, side = (column[c].to_numpy(zero_copy_only=False) for c in ("bucket", "key", "label", "place", "asks", "side"))
+        band = column["band"].to_numpy()
+        sketch = column["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        bands = column["bands"].flatten().to_numpy().reshape(len(key), -1)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        out = []
+        for rows in np.split(order, cuts):
+            left, right = rows[asks[rows] & (side[rows] != 1)], rows[side[rows] != 0]
+            for i in range(0, len(left), 64):
+                x = left[i : i + 64]
+                after = (place[right] > place[x][:, None]) | ((place[right] == place[x][:, None]) & (key[right] > key[x][:, None]))
+                a, b = np.nonzero(after & (label[right] != label[x][:, None]))
+                a, b = x[a], right[b]
+                for j in range(0, len(a), 1 << 15):
+                    p, q = a[j : j + (1 << 15)], b[j : j + (1 << 15)]
+                    d = sketch[p] ^ sketch[q]
+                    apart = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+                    p, q = p[SKETCH - apart >= least], q[SKETCH - apart >= least]
+                    met = (bands[p] == bands[q]).argmax(1) == band[p]
+                    out.append((key[p[met]], key[q[met]]))
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return run
 
-    def differ(i: int):
-        d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-    return sum((differ(i) for i in range(1, SKETCH // 32)), differ(0)) <= int(SKETCH * (1 - least))
+def _pairs(rows: DataFrame, begin: float, end: float, threshold: float) -> DataFrame:
+    """Pairs to verify among the members of each bucket in ``rows``, where those placed in [begin, end) ask the others."""
+    rows = rows.withColumn("asks", (F.col("place") >= begin) & (F.lit(end == math.inf) | (F.col("place") < (end if end < math.inf else 0.0))))
+    packs = max(1, rows.count() // 2048)
+    small = rows.where(F.col("size") <= BLOCK).select(
+        F.lit(False).alias("large"), F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), *rows.columns
+    )
+    large = rows.where(F.col("size") > BLOCK)
+    asking = F.least(F.col("size"), F.lit(end)) if end < math.inf else F.col("size")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("key"), blocks(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    one = (F.lit(True).alias("large"), F.col("bucket").alias("g"))
+    x = large.where("asks").select(*one, mine(asking).alias("i"), every(F.col("size")).alias("j"), F.lit(0).alias("side"), *rows.columns)
+    y = large.select(*one, every(asking).alias("i"), mine(F.col("size")).alias("j"), F.lit(1).alias("side"), *rows.columns)
+    return small.unionByName(x).unionByName(y).groupBy("large", "g", "i", "j").applyInArrow(_near(threshold), "x long, y long")
 
 
 def near_dedup(
@@ -286,14 +334,8 @@ def near_dedup(
                 sketches = materialise(sketches, "sketches")
             place = F.pmod(F.xxhash64("key", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
             others = labelled.where("key <> leader").join(sketches, "key").withColumn("place", place)
-            side = lambda s: others.select(*[F.col(c).alias(f"{c}_{s}") for c in ("bucket", "band", "key", "label", "place", "sketch", "bands")])
-            begin, end = float(ROUNDS[turn - 2]) if turn > 1 else 0.0, ROUNDS[turn - 1]
-            asks = F.col("place_x") >= begin
-            x, y = side("x").where(asks if end == math.inf else asks & (F.col("place_x") < float(end))), side("y")
-            after = (F.col("place_y") > F.col("place_x")) | ((F.col("place_y") == F.col("place_x")) & (F.col("key_y") > F.col("key_x")))
-            first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("band_x") + 1
-            near = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("label_x") != F.col("label_y")) & after
-            pairs = x.join(y, near & _alike("sketch_x", "sketch_y", threshold) & first).select(F.col("key_x").alias("x"), F.col("key_y").alias("y"))
+            begin = float(ROUNDS[turn - 2]) if turn > 1 else 0.0
+            pairs = _pairs(others.drop("leader"), begin, ROUNDS[turn - 1], threshold)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")

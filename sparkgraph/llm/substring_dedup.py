@@ -133,7 +133,7 @@ class Bitmap:
         )
         bits = np.zeros(BITS // 8 + (1 << 12), np.uint8)
         size = 1 << 12
-        for row in parts.toLocalIterator():  # at most BITS / 32768 rows of 4 KiB
+        for row in parts.collect():  # at most BITS / 32768 rows of 4 KiB
             at = (row.bucket - 1) * size if row.bucket else BITS // 8
             bits[at : at + size] = np.frombuffer(row.bits, np.uint8)
         # Place 0 lies in a bucket of its own.
