@@ -215,7 +215,7 @@ def estimate(patterns: list[str], counts: np.ndarray, human: int | None = None,
     return post, rates, prior
 
 
-def screen(rows: list[np.ndarray], bad: np.ndarray, least: int = 4, ratio: float = 20.0) -> np.ndarray:
+def screen(rows: list[np.ndarray], bad: np.ndarray, least: int = 3, ratio: float = 20.0) -> np.ndarray:
     """Flags of the features that occur in ``least`` bad rows and ``ratio`` times as often in bad rows as in good ones.
 
     A text has hundreds of words of its own; without a screen a scorer learns
@@ -279,7 +279,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = []
             for ids, first in (form_features(data, offsets), word_features(data, offsets)):
                 lists.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)))
-            yield pa.RecordBatch.from_arrays([rows.column("bad"), rows.column("toxic"), *lists], names=["bad", "toxic", "form", "words"])
+            given = ["bad", "toxic", "sure"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in given), *lists], names=[*given, "form", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
@@ -289,8 +290,8 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
     or other value is no vote, and of several labels of a document the worst
     counts. The documents to fit on are drawn by hash, a third of them each from
     those that look bad, toxic and clean, as far as there are so many, with
-    human labels first; the clean ones are all labelled by humans if these
-    have at least 100, for what the labellers cannot see would pass as clean.
+    human labels first. If humans found at least 100 clean, only those stand for
+    clean, and for not toxic: what the labellers cannot see would pass as such.
     """
     ident, text = F.col(id_col), F.col(text_col)
     keyed = docs.select(F.xxhash64(ident, text).alias("key"), ident.alias("doc_id"), text.alias("text"))
@@ -322,24 +323,28 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
     judged = voted.join(F.broadcast(quality), "quality").join(F.broadcast(toxicity), "toxicity")
     groups = (F.col("p_toxicity") > 0.5, (F.col("p_quality") > 0.5) & (F.col("p_toxicity") <= 0.5), (F.col("p_quality") <= 0.5) & (F.col("p_toxicity") <= 0.5))
     chosen = None
+    sure = F.lit(True)
     if labels is not None and labelled_clean >= 100:
         groups = (*groups[:2], groups[2] & F.col("toxicity").endswith("0"))
+        sure = F.col("toxicity").endswith("0") | (F.col("p_toxicity") > 0.5)
     for group in groups:
         part = judged.where(group).dropDuplicates(["key"]).orderBy(F.col("quality").endswith("2") & F.col("toxicity").endswith("2"), F.xxhash64("key")).limit(max_train // 3)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.select("key", F.col("p_quality").alias("bad"), F.col("p_toxicity").alias("toxic"))
+    chosen = chosen.select("key", F.col("p_quality").alias("bad"), F.col("p_toxicity").alias("toxic"), sure.alias("sure"))
     sample = materialise(chosen, "sample")  # at most max_train short rows, so it may be broadcast
     texts = keyed.select("key", "text").join(F.broadcast(sample), "key").dropDuplicates(["key"]).orderBy("key")
-    made = texts.select("bad", "toxic", "text").mapInArrow(_extract, "bad double, toxic double, form array<int>, words array<int>")
+    made = texts.select("bad", "toxic", "sure", "text").mapInArrow(_extract, "bad double, toxic double, sure boolean, form array<int>, words array<int>")
     rows = made.toArrow()
     last, fitted = np.array([1 << BITS]), []
     for kind, target in (("form", "bad"), ("words", "toxic")):
         lists = [np.concatenate((x.values.to_numpy(), last)) for x in rows.column(kind)]
         bad = (rows.column(target).to_numpy() > 0.5).astype(float)
         if kind == "words":
+            known = np.flatnonzero(rows.column("sure").to_numpy())
+            lists, bad = [lists[i] for i in known], bad[known]
             use = screen(lists, bad)
             lists = [x[use[x]] for x in lists]
-        fitted.append(fit(lists, bad, l1=5.0 if kind == "words" else 1.0))
+        fitted.append(fit(lists, bad))
     return Scorer(*fitted, quality_rates, toxicity_rates)
 
 
