@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +88,11 @@ class GraphCatalog:
             self._sources[type_.iri] = source
         return self
 
+    def identified_by(self, subject_column: str, id_column: str = "") -> GraphCatalog:
+        """Let all types use these columns for IRIs and for what references hold (by default the same)."""
+        self.types = {iri: replace(t, subject_column=subject_column, id_column=id_column or subject_column) for iri, t in self.types.items()}
+        return self
+
     def bind(self, source: Source, types: Iterable[str] | None = None) -> GraphCatalog:
         """Let ``source`` give the rows of these types (all by default)."""
         for iri in types if types is not None else self.types:
