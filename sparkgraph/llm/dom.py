@@ -1,4 +1,9 @@
-"""A tolerant reader of HTML: elements that may hold blocks, and the text blocks in them."""
+"""A tolerant reader of HTML: elements that may hold blocks, and the text blocks in them.
+
+Start tags close what HTML lets them close (paragraphs, list items, cells); an
+end tag closes up to the element it names, and one of a block that is not open
+only ends the text before it. Unfinished comments and tags hold no text.
+"""
 
 from __future__ import annotations
 
