@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.textvec import rows_by_bytes
+from sparkgraph.llm.shared import small_batches
+from sparkgraph.llm.textvec import rows_by_bytes, trim
 
 #: Fixed by the file format: how byte-level BPE splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,9 +211,9 @@ class Codec:
         self._ids = np.array([vocabulary.special[m] for m in self._marks], np.int32)
         self._size = np.ones(len(self._marks), np.int64)
 
-    def _forget(self) -> None:
-        """Keep the pieces that were met first; their places stay."""
-        n = len(self._marks) + REMEMBERED // 2
+    def forget(self, keep: int = 0) -> None:
+        """Keep the ``keep`` pieces that were met first; their places stay."""
+        n = len(self._marks) + keep
         self._known = dict(itertools.islice(self._known.items(), n))
         self._ids = self._ids[: int(self._size[:n].sum())].copy()
         self._size = self._size[:n].copy()
@@ -231,7 +232,7 @@ class Codec:
         split = [self.pieces(text) for text in texts]
         every = list(itertools.chain.from_iterable(split))
         if len(self._known) > REMEMBERED:
-            self._forget()
+            self.forget(REMEMBERED // 2)
         known = self._known
         places = list(map(known.get, every))
         if None in places:
@@ -279,6 +280,7 @@ def codec(path: str) -> Codec:
 
 def _columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with columns renamed apart, so that none clashes with a result."""
+    small_batches(df.sparkSession)
     names = [f"__c{i}" for i in range(len(df.columns))]
     return df.toDF(*names), names
 
@@ -289,15 +291,20 @@ def _checked(path: str) -> str:
     return path
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each text in ``out_col`` (array<int>).
 
     As the library gives them without begin, end or other added tokens;
     special strings inside a text become their ids. Null and empty texts have
-    no ids. A column of the name ``out_col`` is replaced.
+    no ids. With ``decoded_col`` the ids are also decoded again, as
+    :func:`decode` does it, in the same pass over the data. Columns of these
+    names are replaced.
     """
     given, names = _columns(docs)
-    schema = T.StructType([*given.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType(), False))])
+    new = [T.StructField("__ids", T.ArrayType(T.IntegerType(), False))]
+    if decoded_col is not None:
+        new.append(T.StructField("__decoded", T.StringType()))
+    schema = T.StructType([*given.schema.fields, *new])
     at, arrow = docs.columns.index(text_col), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +313,18 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
             for rows, _, _ in rows_by_bytes(batch, names[at], 1 << 20):
                 ids, counts = own.encode_flat(t or "" for t in rows.column(at).to_pylist())
                 ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                coded = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())).cast(arrow.field("__ids").type)
-                yield pa.RecordBatch.from_arrays([*rows.columns, coded], schema=arrow)
+                made = [pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())).cast(arrow.field("__ids").type)]
+                if decoded_col is not None:
+                    made.append(own.decode_flat(ids, counts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], schema=arrow)
+        own.forget()  # the worker lives on
+        trim()
 
     _checked(path)
     coded = given.mapInArrow(run, schema)
-    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != out_col]
-    return coded.select(*kept, F.col("__ids").alias(out_col))
+    out = [out_col] if decoded_col is None else [out_col, decoded_col]
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in out]
+    return coded.select(*kept, *[F.col(f.name).alias(c) for f, c in zip(new, out, strict=True)])
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

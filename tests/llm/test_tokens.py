@@ -65,6 +65,8 @@ def test_encode_and_decode_frames(odd, none, spark):
     want = sorted((library.encode(t or "", add_special_tokens=False).ids, t or "") for _, t in ODD)
     assert sorted((r.ids, r.text) for r in back) == want
     assert encode(none, BYTES).collect() == [] and decode(encode(none, BYTES), BYTES).collect() == []
+    both = encode(odd, BYTES, decoded_col="kept").select("ids", "kept").collect()
+    assert sorted((r.ids, r.kept) for r in both) == want
     rows = spark.createDataFrame([(1, [64, None, 65]), (2, None), (3, [])], "k int, ids array<int>")
     assert {r.k: r.decoded for r in decode(rows, BYTES).collect()} == {1: "ab", 2: "", 3: ""}
     with pytest.raises(FileNotFoundError):
