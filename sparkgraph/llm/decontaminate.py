@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import materialise
-from sparkgraph.llm.textvec import ALNUM, Words, rows_by_bytes
+from sparkgraph.llm.shared import materialise, small_batches
+from sparkgraph.llm.textvec import ALNUM, Words, rows_by_bytes, trim
 
-#: Bytes of benchmark text that one automaton, and so one broadcast, may hold.
-SHARD_BYTES = 8 << 20
+#: Bytes of benchmark text that one automaton, and so one broadcast, may hold. Overlapping windows make about 440
+#: bytes of automaton from one of text, so a worker's automaton stays near 110 MB.
+SHARD_BYTES = 256 << 10
 
 #: Maps a byte to its normalised form; what ends a word becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if ALNUM[c] else 32 for c in range(256))
@@ -54,7 +55,7 @@ _built: dict[tuple, ahocorasick.Automaton | None] = {}
 
 
 def _automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
-    """Built once in a worker process; only the last one is kept."""
+    """Built once in a task."""
     key = (window, hash(tuple(items)))
     if key not in _built:
         _built.clear()
@@ -124,6 +125,8 @@ def _scanner(items, window: int, text_at: int, n_keep: int, schema: pa.Schema):
                     )
                 hits = pa.RecordBatch.from_pylist(out, schema=found)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:n_keep], *hits.columns], schema=schema)
+        _built.clear()  # the worker lives on
+        trim()
 
     return run
 
@@ -168,6 +171,7 @@ def decontaminate(
     ``shard_bytes`` is scanned in several passes, one bounded automaton each,
     and every pass adds to the hits of the one before.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     keep = [f"__c{i}" for i in range(len(docs.columns))]
     hits = docs.toDF(*keep)

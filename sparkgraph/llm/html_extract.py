@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkgraph.llm import boosting
 from sparkgraph.llm.dom import Block, Node, read
-from sparkgraph.llm.shared import flat_schema
+from sparkgraph.llm.shared import flat_schema, small_batches
 from sparkgraph.llm.textvec import rows_by_bytes
 
 # Words in attributes, by what they tell.
@@ -335,6 +335,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", tre
     markup is read as far as it goes; a column of the name ``out_col`` is
     replaced.
     """
+    small_batches(pages.sparkSession)
     names = [f"__c{i}" for i in range(len(pages.columns))]
     given = pages.toDF(*names)
     schema = T.StructType([*given.schema.fields, *flat_schema("__text string").fields])

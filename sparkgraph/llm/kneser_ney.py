@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import flat_schema, local_path, new_path, text_bytes
+from sparkgraph.llm.shared import flat_schema, local_path, new_path, small_batches, text_bytes
 from sparkgraph.llm.textvec import Words, mix, rows_by_bytes
 
 #: Hashes that stand for the place before the first word, and for the end.
@@ -286,6 +286,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     lower-cased; each text, null and empty too, ends in one end token. Without
     rows the model knows no word.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or new_path(spark, "kneser-ney")
     bits = max(3, (text_bytes(docs, text_col) // shard_bytes).bit_length())
@@ -371,6 +372,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     ``score`` (by the model) and ``perplexity`` (10 to the power of minus the
     score a token). Null and empty texts are one end token.
     """
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names)
     fields = flat_schema("n_tokens long, n_known long, base_score double, score double").fields

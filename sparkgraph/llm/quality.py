@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import flat_schema, materialise
+from sparkgraph.llm.shared import flat_schema, materialise, small_batches
 from sparkgraph.llm.textvec import ALNUM, SPACED, Words, hash_words, mix, rows_by_bytes
 
 #: Weights of a scorer: 2**BITS hashed features; this bounds what is broadcast.
@@ -293,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
     human labels first. If humans found at least 100 clean, only those stand for
     clean, and for not toxic: what the labellers cannot see would pass as such.
     """
+    small_batches(docs.sparkSession)
     ident, text = F.col(id_col), F.col(text_col)
     keyed = docs.select(F.xxhash64(ident, text).alias("key"), ident.alias("doc_id"), text.alias("text"))
     voted = materialise(
@@ -355,6 +356,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str
     ``kept`` says that both are below ``threshold``. Null and empty texts have
     the features of no words and are judged by them.
     """
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names)
     schema = T.StructType([*given.schema.fields, *flat_schema("p_bad double, p_toxic double").fields])

@@ -75,6 +75,16 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of 2,000 rows, where the session has the default of 10,000.
+
+    A batch is held on both sides at once; whole texts are thousands of bytes each.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """About how many bytes a column of texts has: by the optimiser's file sizes, or counted where it knows none."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

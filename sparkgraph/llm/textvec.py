@@ -8,6 +8,8 @@ runs of words are hashed from prefix sums in constant time a run.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; bounds the working arrays.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -80,6 +82,22 @@ def run_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.n
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system; workers are kept between stages, and share the executor's limit with it."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def rows_by_bytes(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of about ``limit`` text bytes: (rows, bytes, row offsets into them). Null is empty."""
     text = pc.fill_null(batch.column(column), "")
@@ -98,6 +116,7 @@ def rows_by_bytes(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Ite
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i), raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    trim()
 
 
 def hash_words(words: list[str]) -> np.ndarray:

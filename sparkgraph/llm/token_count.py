@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from sparkgraph.llm.segment_bpe import byte_chars
+from sparkgraph.llm.shared import small_batches
 from sparkgraph.llm.textvec import rows_by_bytes
 
 #: Fixed by the file format: the pre-token pattern that this module knows.
@@ -108,6 +109,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", out_col: st
     """
     if not os.path.exists(path):
         raise FileNotFoundError(path)
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names)
     schema = T.StructType([*given.schema.fields, T.StructField("__n", T.LongType(), False)])
