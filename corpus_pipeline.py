@@ -17,14 +17,28 @@ from sparkgraph.llm.exact_dedup import exact_dedup
 from sparkgraph.llm.near_dedup import near_dedup
 from sparkgraph.llm.queries import bpe_digest
 from sparkgraph.llm.shared import materialise
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``kept`` lists; null is an id. Rows of one id and text are one document."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if twice else out
+from sparkgraph.llm.substring_dedup import Bitmap
+
+
+def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (key, kept) keeps; of rows of the same id and text it keeps one or all.
+
+    Texts of rows whose key was never dropped are not moved: a bitmap lets them
+    pass, and only the others are joined.
+    """
+    judged = materialise(judged.select("key", "kept"), "judged")
+    kept, dropped = judged.where("kept").select("key").distinct(), judged.where("NOT kept").select("key").distinct()
+    key = _free(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    bitmap = Bitmap(dropped, "key")
+    near = bitmap.filter(keyed, key)
+    gone = dropped.join(kept, "key", "left_anti").withColumnRenamed("key", "gone_key")
+    near = near.join(gone, near[key] == gone["gone_key"], "left_anti")
+    twice = dropped.join(kept, "key", "left_semi").withColumnRenamed("key", "twice_key")
+    if twice.limit(1).count():  # the same id and text in several rows, of which one stays
+        same = near[key] == twice["twice_key"]
+        near = near.join(twice, same, "left_anti").unionByName(near.join(twice, same, "left_semi").dropDuplicates([key]))
+    return bitmap.filter(keyed, key, inside=False).unionByName(near).drop(key)
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -44,12 +58,12 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each text, A-Z and a-z taken as equal."""
-    return _only(docs, exact_dedup(docs.select("doc_id", "text")).where("kept"))
+    return _only(docs, exact_dedup(docs.select("doc_id", "text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class."""
-    return _only(docs, near_dedup(docs.select("doc_id", "text")).where("kept"))
+    return _only(docs, near_dedup(docs.select("doc_id", "text")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,8 @@ class DigestIndex:
 
         Returns one row for each row of ``docs``, dropped ones too: ``doc_id``,
         ``keep_id``, ``group_size`` (rows of this batch with the text),
-        ``kept`` and ``text_sha256``. Of equal texts in a batch the row with
+        ``kept``, ``text_sha256`` and ``key`` (``xxhash64`` of id and text, to find
+        the row again). Of equal texts in a batch the row with
         the largest id stays, unless an earlier batch has the text: then none
         does and ``keep_id`` names the earlier document. Of rows with the same
         id and text one stays; a null id counts as smallest. An empty table
@@ -77,6 +78,7 @@ class DigestIndex:
         digests = materialise(
             docs.select(
                 F.col(id_col).alias("doc_id"),
+                F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
                 F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
                 F.monotonically_increasing_id().alias("row"),
             ),
@@ -105,6 +107,7 @@ class DigestIndex:
             "group_size",
             F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
+            "key",
         )
 
     def compact(self) -> None:
