@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgraph.llm.components import components
-from sparkgraph.llm.shared import materialise
+from sparkgraph.llm.shared import materialise, small_batches
 from sparkgraph.llm.substring_dedup import Bitmap
 from sparkgraph.llm.textvec import RUN, Words, mix, prefix_hash, rows_by_bytes, run_hash, shingles
 
@@ -277,7 +277,7 @@ def near_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The near-duplicate class of each row of ``docs``: ``doc_id``, ``class_id``, ``class_size``, ``n_links`` and ``kept``.
+    """The near-duplicate class of each row of ``docs``: ``doc_id``, ``class_id``, ``class_size``, ``n_links``, ``kept`` and ``key``.
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z
     lower-cased; a text's elements are its runs of ``shingle`` words, or the
@@ -286,7 +286,8 @@ def near_dedup(
     directly or through others, by a weighted Jaccard similarity of
     ``threshold`` or more; ``class_id`` is its least id and that row is kept.
     ``n_links`` counts the links that were found to other different texts;
-    texts that are the same words are one and need no link.
+    texts that are the same words are one and need no link. ``key`` is
+    ``xxhash64`` of id and text, to find the row again.
 
     At the threshold itself, 25 bands of 5 miss a pair with a chance of 5e-5,
     and the sketches that are compared before the shingles with one of 3e-5.
@@ -296,6 +297,7 @@ def near_dedup(
     """
     if weighting not in ("set", "count"):
         raise ValueError("weighting must be set or count")
+    small_batches(docs.sparkSession)
     counted = weighting == "count"
     source = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed_schema = "key long, doc_id {}, row long, copy1 long, copy2 long, n_words long, bands array<long>".format(docs.schema[id_col].dataType.simpleString())
@@ -362,13 +364,13 @@ def near_dedup(
         nodes.select("copy1", "copy2", "key").join(labels, "key", "left").join(n_links, "key", "left")
         .select("copy1", "copy2", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes"
     )
-    rows = materialise(worded.select("doc_id", "row", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "row", "label", "n_links"), "class-rows")
+    rows = materialise(worded.select("doc_id", "row", "key", "copy1", "copy2").join(named, ["copy1", "copy2"]).select("doc_id", "row", "key", "label", "n_links"), "class-rows")
     least = materialise(rows.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size")), "class-firsts")
     classed = rows.join(least, "label").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept")
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "key"
     )
     alone = signed.where("n_words = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "key"
     )
     return classed.unionByName(alone)
 

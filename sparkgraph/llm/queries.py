@@ -24,7 +24,7 @@ def _sha(column) -> F.Column:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_documents(spark, sf_dir))
+    return near_dedup.near_dedup(_documents(spark, sf_dir)).drop("key")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("key")
 
 
 OP3_SQL = f"""
@@ -197,8 +197,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Encode and decode the texts of ``docs``; counts and digests of both."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = segment_bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    both = segment_bpe.decode(ids, path)
+    both = segment_bpe.encode(docs.select("doc_id", "text"), path, decoded_col="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

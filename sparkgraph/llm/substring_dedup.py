@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import flat_schema, materialise
+from sparkgraph.llm.shared import flat_schema, materialise, small_batches
 from sparkgraph.llm.textvec import RUN, Words, prefix_hash, rows_by_bytes, run_hash
 
 #: Bits of the bitmap of documents; its 4 MiB bound what is collected and broadcast.
@@ -122,35 +122,25 @@ def _windows(length: int):
 
 
 class Bitmap:
-    """A bitmap over hashed keys with a fixed number of bits, for a cheap first test of membership."""
+    """A bitmap over hashed keys with a fixed number of bits, for a cheap first test of membership.
+
+    It is a table of at most BITS / 32768 + 1 rows of 4 KiB, which bounds what is
+    broadcast. Building and testing are DataFrame expressions.
+    """
 
     def __init__(self, keys: DataFrame, column: str):
-        place = F.expr(f"{column} & {BITS - 1}L")
-        parts = (
-            keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-            .groupBy("bucket")
-            .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        )
-        bits = np.zeros(BITS // 8 + (1 << 12), np.uint8)
-        size = 1 << 12
-        for row in parts.collect():  # at most BITS / 32768 rows of 4 KiB
-            at = (row.bucket - 1) * size if row.bucket else BITS // 8
-            bits[at : at + size] = np.frombuffer(row.bits, np.uint8)
-        # Place 0 lies in a bucket of its own.
-        self.bits = keys.sparkSession.sparkContext.broadcast(bits)
+        place = F.expr(f"`{column}` & {BITS - 1}L")
+        parts = keys.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+        self.parts = materialise(parts.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "bitmap")
 
     def filter(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
-        shared, at = self.bits, df.columns.index(column)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = shared.value
-            for batch in batches:
-                place = batch.column(at).to_numpy() & (BITS - 1)
-                bit = np.where(place > 0, place - 1, BITS)
-                yes = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(yes if inside else ~yes))
-
-        return df.mapInArrow(run, df.schema)
+        """The rows whose key may be among the keys, or those whose key is not."""
+        place = f"`{column}` & {BITS - 1}L"
+        bit = f"bitmap_bit_position({place})"
+        byte = f"CAST(conv(hex(substring(__bits, CAST({bit} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+        found = F.expr(f"coalesce(shiftright({byte}, CAST({bit} % 8 AS INT)) & 1, 0) = 1")
+        tested = df.join(F.broadcast(self.parts), F.expr(f"bitmap_bucket_number({place}) = __bucket"), "left")
+        return tested.where(found if inside else ~found).select(*df.columns)
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
@@ -231,6 +221,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, seed: int = 8, id_col: st
     ``length`` lose none; rows of the same id and text are two documents; a
     null id is an id like others.
     """
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names)
     text, ident = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
