@@ -1,23 +1,29 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model.
-
-Counting: each task reduces its texts to distinct pairs (previous word, word)
-with counts and sends them, packed by shard, to the task that adds up that
-shard. Shards are chosen by the previous word's hash and a few bits of the
-word's, so that no frequent word gathers its successors in one place. A second
-exchange adds up, for each word, its pairs as a context and its distinct
-predecessors.
+"""Perplexity by interpolated modified Kneser-Ney models of two and of three words.
+
+Counting: each task reduces its texts to distinct triples (the two words
+before, word) with counts and sends them, packed by shard, to the task that adds
+up that shard. Shards are chosen by the previous word's hash and a few bits of
+the word's, so that no frequent word gathers its successors in one place, and a
+pair's count and its distinct predecessors are added up with its triples. A
+second exchange adds up, for each word, its pairs as a context and its distinct
+predecessors, and, for each pair, its successors met twice or more; those met
+once are what is left of the pair's count. Triples go in passes over the texts,
+each for some of the shards, and the files of a pass's shuffle are removed
+before the next, so that not all triples lie on disk twice.
 
 Storage: a shard is a sorted array of 64-bit hashes with parallel arrays of
 counts, in the shared folder. Scoring workers memory-map them, so only the
 pages they touch are read, and share them on a machine.
 
-Two words are the longest context: texts of little word order hardly repeat
-longer ones, and the tables grow with the number of different n-grams.
+With ``order`` 2 only pairs are counted. With 3 the same tables hold both
+models: the pairs' own counts for the one, their predecessors for the other.
+Pairs that begin a text have no predecessors and keep their counts.
 """
 
 from __future__ import annotations
 
 import functools
+import mmap
 import os
 import tempfile
 import uuid
@@ -28,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgraph.llm.shared import flat_schema, local_path, new_path, small_batches, text_bytes
+from sparkgraph.llm.shared import delete, flat_schema, local_path, new_path, small_batches, text_bytes
 from sparkgraph.llm.textvec import Words, mix, rows_by_bytes
 
 #: Hashes that stand for the place before the first word, and for the end.
@@ -45,18 +51,35 @@ HELD = 1 << 21
 #: Input bytes for each shard, and parts into which a previous word's successors are dealt.
 SHARD_BYTES, SALT = 16 << 20, 8
 
+#: Passes over the texts that count triples.
+PASSES = 4
+
+#: Spark's setting to remove the files of a query's shuffles when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _PACKED = flat_schema("shard int, kind int, blob binary")
 _STATS = flat_schema("kind int, a long, b long, c long, n1 long, n2 long, n3 long, n4 long")
 
 
-def pair_keys(previous: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """The hash of each pair; its top ``bits`` are the shard."""
-    key = mix(mix(previous + _C1) ^ word)
+def _deal(previous: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    return mix(previous ^ ((word % np.uint64(SALT)) * _C2)) >> np.uint64(64 - bits)
+
+
+def _dealt(key: np.ndarray, previous: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return key
-    dealt = mix(previous ^ ((word % np.uint64(SALT)) * _C2)) >> np.uint64(64 - bits) << np.uint64(64 - bits)
-    return dealt | (key >> np.uint64(bits))
+    return _deal(previous, word, bits) << np.uint64(64 - bits) | (key >> np.uint64(bits))
+
+
+def pair_keys(previous: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The hash of each pair; its top ``bits`` are the shard."""
+    return _dealt(mix(mix(previous + _C1) ^ word), previous, word, bits)
+
+
+def triple_keys(earlier: np.ndarray, previous: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The hash of each triple; its shard is that of its last two words."""
+    return _dealt(mix(pair_keys(previous, word, 0) ^ mix(earlier + _C2)), previous, word, bits)
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -75,31 +98,42 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return previous, word, first
 
 
+def before(previous: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before the previous one; BEGIN for the first two tokens of a row."""
+    earlier = np.empty_like(previous)
+    earlier[1:] = previous[:-1]
+    earlier[first[:-1]] = BEGIN
+    return earlier
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length in one compressed blob; 64-bit arrays that repeat go as dictionary and index."""
-    out = [np.int64(len(arrays[0])).tobytes()]
-    for a in arrays:
-        if a.dtype == np.uint64:
-            values, index = np.unique(a, return_inverse=True)
-            width = np.uint16 if len(values) <= 1 << 16 else np.uint32
-            out += [np.int64(len(values)).tobytes(), values.tobytes(), index.astype(width).tobytes()]
-        else:
-            out.append(a.astype(np.uint32).tobytes())
+    """Arrays of one length in one compressed blob; 64-bit arrays go as one dictionary and indexes, without these where they count up."""
+    n = len(arrays[0])
+    hashes = [a for a in arrays if a.dtype == np.uint64]
+    values, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    plain = len(hashes) == 1 and len(values) == n and bool((index[1:] > index[:-1]).all())
+    out = [np.array((n, len(values), plain), np.int64).tobytes(), values.tobytes()]
+    if not plain:
+        out.append(index.astype(_width(len(values))).tobytes())
+    out += [a.astype(np.uint32).tobytes() for a in arrays if a.dtype != np.uint64]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
+def _width(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
-    """The arrays of a blob; ``kinds`` has h for hashes and n for counts."""
+    """The arrays of a blob; ``kinds`` has h for hashes, which come first, and n for counts."""
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    n, size, plain = np.frombuffer(data, np.int64, 3).tolist()
+    values, at, out = np.frombuffer(data, np.uint64, size, 24), 24 + 8 * size, []
     for kind in kinds:
-        if kind == "h":
-            size = int(np.frombuffer(data, np.int64, 1, at)[0])
-            values = np.frombuffer(data, np.uint64, size, at + 8)
-            at += 8 + 8 * size
-            width = np.uint16 if size <= 1 << 16 else np.uint32
-            out.append(values[np.frombuffer(data, width, n, at)])
-            at += n * np.dtype(width).itemsize
+        if kind == "h" and plain:
+            out.append(values)
+        elif kind == "h":
+            out.append(values[np.frombuffer(data, _width(size), n, at)])
+            at += n * np.dtype(_width(size)).itemsize
         else:
             out.append(np.frombuffer(data, np.uint32, n, at).astype(np.int64))
             at += 4 * n
@@ -130,25 +164,36 @@ def _by_shard(kind: int, keys: np.ndarray, bits: int, *arrays: np.ndarray) -> It
             yield _batch(_PACKED, [(s, kind, _pack(*(a[part] for a in arrays)))])
 
 
-def _count(bits: int):
-    """Texts to packed pairs by shard."""
+def _keys(grams: list[np.ndarray], bits: int) -> np.ndarray:
+    return (pair_keys if len(grams) == 2 else triple_keys)(*grams, bits)
+
+
+def _count(bits: int, order: int, passes: int, at: int):
+    """Texts to packed pairs or triples by shard, of every shard whose number leaves ``at`` when divided by ``passes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            previous, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            grams = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            keys, one, (counts,) = _summed(pair_keys(previous, word, bits), np.ones(len(word), np.int64))
-            yield from _by_shard(0, keys, bits, previous[one], word[one], counts)
+            keys, one, (counts,) = _summed(_keys(grams, bits), np.ones(len(grams[0]), np.int64))
+            # Pairs side by side pack better.
+            near = np.argsort(grams[-2][one] >> np.uint64(32) << np.uint64(32) | grams[-1][one] >> np.uint64(32))
+            one = one[near]
+            yield from _by_shard(0, keys[near], bits, *(x[one] for x in grams), counts[near])
 
         for batch in batches:
             for _, data, offsets in rows_by_bytes(batch, "text"):
-                previous, word, _ = tokens(Words(data, offsets))
-                held.append((previous, word))
-                if sum(len(x) for x, _ in held) >= HELD:
+                previous, word, first = tokens(Words(data, offsets))
+                grams = (before(previous, first), previous, word)[-order:]
+                if passes > 1:
+                    mine = _deal(previous, word, bits) % np.uint64(passes) == at
+                    grams = tuple(x[mine] for x in grams)
+                held.append(grams)
+                if sum(len(x[0]) for x in held) >= HELD:
                     yield from flush()
-        if held:
+        if any(len(x[0]) for x in held):
             yield from flush()
 
     return run
@@ -172,12 +217,23 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     store.move(part, f"{base}/{name}")
 
 
+def _mapped(path: str) -> np.ndarray:
+    """An array that is mapped into memory without holding its file open, or read if it is small: a worker has thousands of them."""
+    with open(path, "rb") as file:
+        if os.path.getsize(path) < 1 << 16:
+            return np.load(file)
+        np.lib.format.read_magic(file)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(file)
+        data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        return np.frombuffer(data, dtype, offset=file.tell()).reshape(shape)
+
+
 def load(folder: str, name: str) -> np.ndarray | None:
     """Map an array into memory; None if the shard has none. From a remote store it is fetched first, into an unlinked file."""
     path = local_path(folder)
     if path is not None:
         full = f"{path}/{name}"
-        return np.load(full, mmap_mode="r") if os.path.exists(full) else None
+        return _mapped(full) if os.path.exists(full) else None
     store, base = pa.fs.FileSystem.from_uri(folder)
     if store.get_file_info(f"{base}/{name}").type == pa.fs.FileType.NotFound:
         return None
@@ -186,7 +242,7 @@ def load(folder: str, name: str) -> np.ndarray | None:
             while piece := source.read(1 << 20):
                 own.write(piece)
         own.flush()
-        return np.load(own.name, mmap_mode="r")
+        return _mapped(own.name)
 
 
 def _small(counts: np.ndarray) -> np.ndarray:
@@ -199,49 +255,82 @@ def _tally(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in range(1, 5)]
 
 
-def _add_pairs(folder: str, bits: int):
-    """Add up one shard of pairs, store it, and send on what its words need."""
+def _save_counts(folder: str, table: str, column: str, counts: np.ndarray) -> None:
+    """Large counts are few; the others take a byte each."""
+    large = np.flatnonzero(counts > 255)
+    save(folder, f"{table}.{column}.npy", np.minimum(counts, 255).astype(np.uint8))
+    save(folder, f"{table}.{column}-large.npy", np.stack((large, counts[large])))
+
+
+def _by_size(counts: np.ndarray) -> list[np.ndarray]:
+    return [counts, *((counts == i).astype(np.int64) for i in (1, 2)), (counts > 2).astype(np.int64)]
+
+
+def _add_pairs(folder: str, bits: int, order: int):
+    """Add up one shard of pairs or triples, store it, and send on what its words and pairs need."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, "hhn") for b in table.column("blob").to_pylist()]
-        previous, word, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [_unpack(b, "h" * order + "n") for b in table.column("blob").to_pylist()]
+        *grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        keys, one, (counts,) = _summed(pair_keys(previous, word, bits), counts)
-        previous, word = previous[one], word[one]
         shard = table.column("shard")[0].as_py()
-        # Large counts are few; the others take a byte each.
-        large = np.flatnonzero(counts > 255)
+        out: list[pa.RecordBatch] = []
+        tallies: list[list[int]] = []
+        predecessors = np.ones(len(counts), np.int64)
+        if order == 3:
+            keys, one, (counts,) = _summed(triple_keys(*grams, bits), counts)
+            grams = [x[one] for x in grams]
+            inside = np.flatnonzero(grams[1] != BEGIN)
+            save(folder, f"triple-{shard}.key.npy", keys[inside])
+            _save_counts(folder, f"triple-{shard}", "count", counts[inside])
+            tallies = [[5, *_tally(counts[inside]), len(inside)]]
+            more = inside[counts[inside] > 1]
+            twice = counts[more] == 2
+            held = [twice.astype(np.int64), (~twice).astype(np.int64), np.where(twice, 0, counts[more])]
+            contexts, _, held = _summed(pair_keys(grams[0][more], grams[1][more], bits), *held)
+            out += _by_shard(4, contexts, bits, contexts, *held)
+            del keys, inside, more
+            predecessors = np.ones(len(counts), np.int64)
+        previous, word = grams[-2:]
+        del grams
+        keys, one, (counts, predecessors) = _summed(pair_keys(previous, word, bits), counts, predecessors)
+        previous, word = previous[one], word[one]
         save(folder, f"pair-{shard}.key.npy", keys)
-        save(folder, f"pair-{shard}.count.npy", np.minimum(counts, 255).astype(np.uint8))
-        save(folder, f"pair-{shard}.large.npy", np.stack((large, counts[large])))
-        n = [(counts == i).astype(np.int64) for i in (1, 2)]
-        contexts, _, (total, n1, n2, n3) = _summed(previous, counts, *n, (counts > 2).astype(np.int64))
-        words, _, (seen, before) = _summed(word, counts, np.ones(len(word), np.int64))
-        out = [
-            *_by_shard(1, contexts, bits, contexts, total, n1, n2, n3),
-            *_by_shard(2, words, bits, words, seen, before),
-            _batch(_PACKED, [(-1, 3, np.array([*_tally(counts), len(counts)], np.int64).tobytes())]),
+        _save_counts(folder, f"pair-{shard}", "count", counts)
+        sizes = _by_size(counts)
+        tallies.append([3, *_tally(counts), len(counts)])
+        if order == 3:
+            adjusted = np.where(previous == BEGIN, counts, predecessors)
+            _save_counts(folder, f"pair-{shard}", "adjusted", adjusted)
+            sizes += _by_size(adjusted)
+            tallies.append([6, *_tally(adjusted), len(adjusted)])
+        contexts, _, sizes = _summed(previous, *sizes)
+        words, _, (seen, different) = _summed(word, counts, np.ones(len(word), np.int64))
+        out += [
+            *_by_shard(1, contexts, bits, contexts, *sizes),
+            *_by_shard(2, words, bits, words, seen, different),
+            _batch(_PACKED, [(-1, 3, np.array(tallies, np.int64).tobytes())]),
         ]
         return pa.Table.from_batches(out)
 
     return run
 
 
-def _add_words(folder: str):
+def _add_words(folder: str, order: int):
     """Add up one shard of contexts and words and store it; the tallies of the whole model come out."""
+    forms = {1: ("context", "h" + "nnnn" * (order - 1)), 2: ("word", "hnn"), 4: ("successor", "hnnn")}
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         rows: list[tuple] = []
-        for kind, form in ((1, "hnnnn"), (2, "hnn")):
+        for kind, (name, form) in forms.items():
             parts = [_unpack(b, form) for k, b in zip(kinds, blobs, strict=True) if k == kind]
             if not parts:
                 continue
             keys, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             keys, _, values = _summed(keys, *values)
-            name = "context" if kind == 1 else "word"
             save(folder, f"{name}-{shard}.key.npy", keys)
             for i, v in enumerate(values):
                 save(folder, f"{name}-{shard}.{i}.npy", _small(v))
@@ -249,8 +338,7 @@ def _add_words(folder: str):
                 rows.append((2, len(keys), int(values[0].sum()), int(values[1].sum()), *_tally(values[1])))
         for kind, blob in zip(kinds, blobs, strict=True):
             if kind == 3:
-                *n, size = np.frombuffer(blob, np.int64).tolist()
-                rows.append((3, size, 0, 0, *n))
+                rows += [(of, size, 0, 0, *n) for of, *n, size in np.frombuffer(blob, np.int64).reshape(-1, 6).tolist()]
         return pa.Table.from_batches([_batch(_STATS, rows)])
 
     return run
@@ -277,31 +365,54 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     rest: float  # of the word distribution, for unseen words
+    order: int = 2
+    adjusted_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)  # of pairs below triples
+    triple_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+
+
+def _summed_stats(stats: DataFrame) -> dict[int, Row]:
+    sums = stats.groupBy("kind").agg(*[F.sum(c).alias(c) for c in _STATS.names[1:]])
+    return {row.kind: row for row in sums.collect()}  # four rows at most
 
 
-def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
+def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES, order: int = 3, passes: int | None = None) -> Model:
     """Count all of ``docs`` and store the model in ``folder`` (a new one in the shared folder by default).
 
+    ``order`` is the longest run of words that is counted, 2 or 3. ``docs`` is
+    read ``passes`` times (``PASSES`` for order 3, once for 2) and must have the
+    same rows each time.
+
     Words are runs of bytes other than space and 0x09-0x0D with A-Z
     lower-cased; each text, null and empty too, ends in one end token. Without
     rows the model knows no word.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or new_path(spark, "kneser-ney")
-    bits = max(3, (text_bytes(docs, text_col) // shard_bytes).bit_length())
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(bits), _PACKED)
-    pairs = packed.groupBy("shard").applyInArrow(_add_pairs(folder, bits), _PACKED)
-    stats = pairs.groupBy("shard").applyInArrow(_add_words(folder), _STATS)
-    sums = stats.groupBy("kind").agg(*[F.sum(c).alias(c) for c in _STATS.names[1:]])
-    by_kind = {row.kind: row for row in sums.collect()}  # two rows
+    # Triples take about twice the memory of pairs when a shard is added up.
+    bits = max(3, (text_bytes(docs, text_col) // shard_bytes).bit_length()) + (order == 3)
+    passes = passes or (PASSES if order == 3 else 1)
+    texts, parts = docs.select(F.col(text_col).alias("text")), new_path(spark, "kneser-ney-parts")
+    kept = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        for at in range(passes):
+            packed = texts.mapInArrow(_count(bits, order, passes, at), _PACKED)
+            packed.groupBy("shard").applyInArrow(_add_pairs(folder, bits, order), _PACKED).write.parquet(f"{parts}/{at}")
+        pairs = spark.read.schema(_PACKED).parquet(*[f"{parts}/{at}" for at in range(passes)])
+        stats = pairs.groupBy("shard").applyInArrow(_add_words(folder, order), _STATS)
+        by_kind = _summed_stats(stats)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
+        delete(spark, parts)
     if not by_kind:
-        return Model(folder, bits, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0)
+        return Model(folder, bits, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0, order)
     words, every = by_kind[2], by_kind[3]
-    lower = discounts([words.n1, words.n2, words.n3, words.n4])
+    lower, upper, *more = (discounts([r.n1, r.n2, r.n3, r.n4]) for r in [words, every, *(by_kind[k] for k in (6, 5) if order == 3)])
     rest = (lower[0] * words.n1 + lower[1] * words.n2 + lower[2] * (words.a - words.n1 - words.n2)) / words.c
-    upper = discounts([every.n1, every.n2, every.n3, every.n4])
-    return Model(folder, bits, words.b, words.a, every.a, upper, lower, rest)
+    return Model(folder, bits, words.b, words.a, every.a, upper, lower, rest, order, *more)
 
 
 class Tables:
@@ -332,31 +443,51 @@ class Tables:
             found = np.flatnonzero(have[at] == part)
             for values, column in zip(out, columns, strict=True):
                 values[ends[s] + found] = self._array(f"{table}-{s}.{column}")[at[found]]
-            if table == "pair":
-                large, counts = self._array(f"pair-{s}.large")
-                if len(large):
-                    i = np.minimum(np.searchsorted(large, at[found]), len(large) - 1)
-                    hit = large[i] == at[found]
-                    out[0][ends[s] + found[hit]] = counts[i[hit]]
+                if table in ("pair", "triple"):
+                    large, counts = self._array(f"{table}-{s}.{column}-large")
+                    if len(large):
+                        i = np.minimum(np.searchsorted(large, at[found]), len(large) - 1)
+                        hit = large[i] == at[found]
+                        values[ends[s] + found[hit]] = counts[i[hit]]
         return [v[back] for v in out]
 
-    def log10(self, previous: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The model's log10 probability of each word after its previous one, and the word's count in training."""
+    def log10(self, earlier: np.ndarray, previous: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each model's log10 probability of each word after those before it, and the word's count in training."""
         m = self.model
-        seen, before = self.find("word", word, ["0", "1"])
+        seen, different = self.find("word", word, ["0", "1"])
         low = np.array((0.0, *m.word_discounts))
         p = m.rest / (m.n_words + 1)
         if m.n_pairs:
-            p = p + np.maximum(before - low[np.minimum(before, 3)], 0) / m.n_pairs
+            p = p + np.maximum(different - low[np.minimum(different, 3)], 0) / m.n_pairs
         p = np.broadcast_to(p, len(word)).astype(float)
-        total, n1, n2, n3 = self.find("context", previous, ["0", "1", "2", "3"])
-        (pairs,) = self.find("pair", pair_keys(previous, word, m.bits), ["count"])
-        top = np.array((0.0, *m.pair_discounts))
-        known = total > 0
-        spare = top[1] * n1 + top[2] * n2 + top[3] * n3
-        t = total[known]
-        p[known] = np.maximum(pairs - top[np.minimum(pairs, 3)], 0)[known] / t + spare[known] / t * p[known]
-        return np.log10(p), seen
+        sizes = self.find("context", previous, [str(i) for i in range(4 * (m.order - 1))])
+        keys = pair_keys(previous, word, m.bits)
+        pairs, *adjusted = self.find("pair", keys, ["count", "adjusted"][: m.order - 1])
+        out = [np.log10(_interpolated(pairs, m.pair_discounts, *sizes[:4], p))]
+        if m.order == 3:
+            p = _interpolated(adjusted[0], m.adjusted_discounts, *sizes[4:], p)
+            # A token's context is the pair that ends before it. The first token of a text has none.
+            inside = np.flatnonzero(previous != BEGIN)
+            total = pairs[inside - 1]
+            triples, n2, n3, in_n3 = (np.zeros(len(inside), np.int64) for _ in range(4))
+            # Only where both pairs are known can the triple be, and only a pair met twice has a successor met twice.
+            i = np.flatnonzero((total > 0) & (pairs[inside] > 0))
+            at = inside[i]
+            (triples[i],) = self.find("triple", triple_keys(earlier[at], previous[at], word[at], m.bits), ["count"])
+            i = np.flatnonzero(total > 1)
+            n2[i], n3[i], in_n3[i] = self.find("successor", keys[inside[i] - 1], ["0", "1", "2"])
+            p[inside] = _interpolated(triples, m.triple_discounts, total, total - 2 * n2 - in_n3, n2, n3, p[inside])
+            out.append(np.log10(p))
+        return out, seen
+
+
+def _interpolated(counts: np.ndarray, of: tuple, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted shares of the contexts' totals, what is spared going by ``lower``, which stands alone after unknown contexts."""
+    p, known, top = lower.copy(), total > 0, np.array((0.0, *of))
+    spare = top[1] * n1 + top[2] * n2 + top[3] * n3
+    t = total[known]
+    p[known] = np.maximum(counts - top[np.minimum(counts, 3)], 0)[known] / t + spare[known] / t * p[known]
+    return p
 
 
 @functools.lru_cache(maxsize=1)
@@ -369,13 +500,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     It has ``n_tokens`` (words and the end), ``n_known`` (tokens met in
     training), ``base_score`` (log10 probability by add-one word frequencies),
-    ``score`` (by the model) and ``perplexity`` (10 to the power of minus the
-    score a token). Null and empty texts are one end token.
+    ``score`` (by the model of two words), with a model of order 3
+    ``trigram_score`` (by that of three) and ``perplexity`` (10 to the power of
+    minus the last score a token). Null and empty texts are one end token.
     """
     small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     given = docs.toDF(*names)
-    fields = flat_schema("n_tokens long, n_known long, base_score double, score double").fields
+    scores = ["score", "trigram_score"][: model.order - 1]
+    fields = flat_schema("n_tokens long, n_known long, base_score double, " + ", ".join(f"{s} double" for s in scores)).fields
     schema = T.StructType([*given.schema.fields, *fields])
     text, arrow = names[docs.columns.index(text_col)], to_arrow_schema(schema)
 
@@ -384,12 +517,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         for batch in batches:
             for rows, data, offsets in rows_by_bytes(batch, text):
                 previous, word, first = tokens(Words(data, offsets))
-                logs, seen = tables.log10(previous, word)
+                logs, seen = tables.log10(before(previous, first), previous, word)
                 base = np.log10((seen + 1) / (model.n_tokens + 1 * (model.n_words + 1)))
                 at = first[:-1]
-                values = np.diff(first), np.add.reduceat((seen > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(logs, at)
+                values = np.diff(first), np.add.reduceat((seen > 0).astype(np.int64), at), *(np.add.reduceat(x, at) for x in (base, *logs))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, values)], schema=arrow)
 
-    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
-    lm = F.struct("n_tokens", "n_known", "base_score", "score", perplexity).alias(out_col)
+    perplexity = F.pow(F.lit(10.0), -F.col(scores[-1]) / F.col("n_tokens")).alias("perplexity")
+    lm = F.struct("n_tokens", "n_known", "base_score", *scores, perplexity).alias(out_col)
     return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != out_col], lm)

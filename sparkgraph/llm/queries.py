@@ -96,6 +96,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         "lm.base_score",
         "lm.score",
+        "lm.trigram_score",
     )
 
 

@@ -105,6 +105,69 @@ def test_lm_query(spark):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+class TrigramReference(Reference):
+    """The trigram model written out with dictionaries; pairs that begin a text keep their counts."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.triples = Counter()
+        for t in texts:
+            w = ["<s>", *tokens(t)]
+            self.triples.update(zip(w, w[1:], w[2:], strict=False))
+        self.adjusted = Counter({(u, w): n for (u, w), n in self.pairs.items() if u == "<s>"})
+        self.adjusted.update((v, w) for _, v, w in self.triples)
+        self.after = {2: defaultdict(lambda: [0, 0, 0, 0]), 3: defaultdict(lambda: [0, 0, 0, 0])}
+        for order, grams in ((2, self.adjusted), (3, self.triples)):
+            for (*context, _), n in grams.items():
+                self.after[order][*context][0] += n
+                self.after[order][*context][min(n, 3)] += 1
+        self.discount = {2: self.discounts(self.adjusted.values())[0], 3: self.discounts(self.triples.values())[0]}
+
+    def p3(self, w, *context):
+        order = len(context) + 1
+        if order == 1:
+            return max(self.before[w] - self.low[min(self.before[w], 3)], 0) / len(self.pairs) + self.rest / (len(self.count) + 1)
+        lower = self.p3(w, *context[1:])
+        if context not in self.after[order]:
+            return lower
+        c, d, n = self.after[order][context], self.discount[order], (self.adjusted if order == 2 else self.triples)[*context, w]
+        return max(n - d[min(n, 3)], 0) / c[0] + sum(a * b for a, b in zip(d[1:], c[1:], strict=True)) / c[0] * lower
+
+    def score3(self, text):
+        w = ["<s>", *tokens(text)]
+        return sum(math.log10(self.p3(w[i], *w[max(i - 2, 0) : i])) for i in range(1, len(w)))
+
+
+def test_trigram_probabilities_sum_to_one():
+    ref = TrigramReference([words(3, 300, 12), words(4, 300, 12)])
+    for context in [("<s>",), ("never",), ("never", "<s>"), *[g[:2] for g in list(ref.triples)[:40:8]]]:
+        assert sum(ref.p3(w, *context) for w in [*ref.count, "unseen"]) == pytest.approx(1)
+
+
+def test_trigram_scores(spark, odd):
+    texts = {i: t for i, t in enumerate(["the cat " * 400, "", None, *["of the " + words(i, 200, 20) for i in range(40)], *[t for _, t in ODD]])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(4)
+    for learned, bytes_ in ((frame, 1 << 11), (frame.where("doc_id % 3 > 0"), 1 << 20), (odd, 1 << 20)):
+        ref = TrigramReference([r.text for r in learned.select("text").collect()])
+        rows = kneser_ney.score(frame, kneser_ney.train(learned, shard_bytes=bytes_)).collect()
+        for r in rows:
+            assert r.lm.trigram_score == pytest.approx(ref.score3(texts[r.doc_id]))
+            assert r.lm.perplexity == pytest.approx(10 ** (-r.lm.trigram_score / r.lm.n_tokens))
+    two = kneser_ney.score(frame, kneser_ney.train(frame, order=2)).collect()
+    check_scores([(r.doc_id, r.lm) for r in two], texts.values(), texts)
+    assert "trigram_score" not in two[0].lm
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.train(frame, order=4)
+
+
+def test_lm_query_uses_three_words(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ref = TrigramReference([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    rows = op6_lm_score(spark, SMALL).collect()
+    assert all(r.trigram_score == pytest.approx(ref.score3(docs[r.doc_id])) for r in rows)
+    assert sum(r.trigram_score for r in rows if r.held_out) > sum(r.score for r in rows if r.held_out)
+
+
 def test_boosting_learns():
     r = np.random.default_rng(1)
     x = r.random((3000, 5))
