@@ -2,7 +2,8 @@
 
 Start tags close what HTML lets them close (paragraphs, list items, cells); an
 end tag closes up to the element it names, and one of a block that is not open
-only ends the text before it. Unfinished comments and tags hold no text.
+only ends the text before it. Text, or a start tag other than head content,
+ends an open head. Unfinished comments and tags hold no text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import re
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style noscript template svg math iframe object audio video canvas textarea select option datalist".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
+#: Start tags that leave an open head open.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Raw elements that hide nothing when no end tag follows.
+OPEN = frozenset("noscript svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
@@ -75,6 +80,7 @@ def read(page: str) -> tuple[list[Node], list[Block]]:
     link_parts: list[str] = []
     links = 0
     hidden: list[str] = []
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, link_parts
@@ -87,6 +93,8 @@ def read(page: str) -> tuple[list[Node], list[Block]]:
             parts, link_parts = [], []
 
     def say(raw: str) -> None:
+        if hidden == ["head"] and raw.strip():
+            hidden.clear()
         if hidden or not raw:
             return
         if "&" in raw:
@@ -130,10 +138,15 @@ def read(page: str) -> tuple[list[Node], list[Block]]:
         if not opened:
             continue
         tag, attributes = opened.lower(), m[3] or m[5] or ""
+        if hidden == ["head"] and tag not in HEAD:
+            hidden.clear()
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in unclosed:
                 close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                if close or tag not in OPEN:
+                    at = close.end() if close else end
+                else:
+                    unclosed.add(tag)
             if not hidden and tag not in ("title", "script", "style"):
                 parts.append(" ")
             continue

@@ -191,6 +191,21 @@ def test_decoding_is_consistent():
     assert kept == {"body0": True, "div1": True, "p2": False, "p3": True, "nav4": False, "p5": False}
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><meta charset=x><article><p>One<p>Two</article>", ["One", "Two"]),
+        ("<head><link rel=x><script>s</script>Bare text<p>One", ["Bare text", "One"]),
+        ("<head><title>T</title><style>s</style></head><body><p>One</body>", ["One"]),
+        ("<head><svg><path d=x></svg><p>One", ["One"]),
+        ("<p>One<svg><path d=x><p>Two<svg><p>Three", ["One", "Two", "Three"]),
+        ("<p>One<noscript><p>Two", ["One", "Two"]),
+    ],
+)
+def test_heads_and_raw_elements_left_open(page, texts):
+    assert blocks(page) == texts
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "<html>"), (5, "plain text only"), (6, "<article><p>x</article>" * 50), (6, "<p>" * 3000), (None, "<article><h1>T</h1><p>" + "w " * 40000)]
     frame = spark.createDataFrame([(i, t, "u", "old") for i, t in rows], "page_id long, html string, url string, text string")
