@@ -195,6 +195,11 @@ TEXTS: dict[str, tuple[str, str]] = {
         f"""SELECT {_iri('part', 'p_partkey')} AS p, a, b FROM (SELECT p_partkey, a, unnest(list_distinct(string_split(p_name, ' '))) AS b
         FROM (SELECT p_partkey, p_name, unnest(list_distinct(string_split(p_name, ' '))) AS a FROM part WHERE p_size = 7))""",
     ),
+    "array_two_variables_all": (
+        "SELECT ?p ?a ?b WHERE { ?p t:word ?a ; t:word ?b }",
+        f"""SELECT {_iri('part', 'p_partkey')} AS p, a, b FROM (SELECT p_partkey, a, unnest(list_distinct(string_split(p_name, ' '))) AS b
+        FROM (SELECT p_partkey, p_name, unnest(list_distinct(string_split(p_name, ' '))) AS a FROM part))""",
+    ),
     "array_contains": (
         'SELECT ?p ?name WHERE { ?p t:word "red" ; t:name ?name }',
         f"SELECT {_iri('part', 'p_partkey')} AS p, p_name AS name FROM part WHERE list_contains(string_split(p_name, ' '), 'red')",

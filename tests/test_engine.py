@@ -211,3 +211,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert "scan ?r" in capsys.readouterr().out
     query.write_text("SELECT ?r { ?r <nothing> ?n }")
     assert main([str(query), "--data", "/root/testdata/sf0.001"]) == 2
+
+
+def test_two_variables_over_one_array_of_every_part(spark):
+    """All combinations of every part, compared with SQL."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    folder, name = "/root/testdata/sf0.01", "array_two_variables_all"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+        want = db.execute(oracle_sql()[name]).fetchall()
+        n_parts = db.execute("SELECT count(*) FROM part").fetchone()[0]
+    got = [tuple(r) for r in queries()[name](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and len({r[0] for r in got}) == n_parts
