@@ -82,7 +82,7 @@ def join(context: Context, a: Solution, b: Solution, broadcast: bool = False) ->
         x, y = a.bindings[var], b.bindings[var]
         first, second = (x, y) if not x.optional else (y, x)
         if first.kind == second.kind == "res":
-            first = replace(first, iri=first.iri or second.iri, types=first.types if first.iri else second.types if second.iri else first.types)
+            df, first = _narrowed(context, df, first, second)
         if first.optional:  # both may be unbound
             name = fresh("v")
             same = x.kind == y.kind and x.value_kind == y.value_kind
@@ -92,9 +92,44 @@ def join(context: Context, a: Solution, b: Solution, broadcast: bool = False) ->
     return Solution(df, bindings).keep() if bindings else Solution(df, bindings)
 
 
+def _narrowed(context: Context, df: DataFrame, a: Binding, b: Binding) -> tuple[DataFrame, Binding]:
+    """Of two bindings of a resource that agree, one with the IRI if either has it, and with the types that both allow."""
+    if b.iri and not a.iri:
+        a, b = b, a
+    if a.exact() or not b.sets:
+        return df, a
+    if b.exact():
+        return df, replace(a, tag=b.tag, sets=b.sets)
+    both = [(n, m, context.typed(tuple(t for t in types if t in other))) for n, types in a.sets for m, other in b.sets if set(types) & set(other)]
+    if len(both) == 1:
+        return df, replace(a, tag="", sets=(both[0][2],))
+    tag = fresh("t")
+    number = reduce(lambda made, one: made.when((a.number() == one[0]) & (b.number() == one[1]), one[2][0]), both, F.when(F.lit(False), F.lit(-1)))
+    return df.withColumn(tag, number), replace(a, tag=tag, sets=tuple(dict.fromkeys(s for _, _, s in both)))
+
+
 def _without(context: Context, outer: Solution, inner: Solution) -> Solution:
-    """The rows of ``outer`` that agree with no row of ``inner``."""
+    """The rows of ``outer`` that agree with no row of ``inner``.
+
+    What is unbound agrees with anything. Rows are parted by what they leave
+    unbound, so that each part is an equi-join.
+    """
     shared = [v for v in inner.bindings if v in outer.bindings]
+    for var in shared:
+        loose = inner.bindings[var]
+        if loose.optional:
+            rest = {v: b for v, b in inner.bindings.items() if v != var}
+            bound = Solution(inner.df.where(F.col(loose.column).isNotNull()), {**rest, var: replace(loose, optional=False)})
+            return _without(context, _without(context, outer, bound), Solution(inner.df.where(F.col(loose.column).isNull()), rest))
+    for var in shared:
+        loose = outer.bindings[var]
+        if loose.optional:
+            rest = {v: b for v, b in inner.bindings.items() if v != var}
+            tight = {**outer.bindings, var: replace(loose, optional=False)}
+            bound = _without(context, Solution(outer.df.where(F.col(loose.column).isNotNull()), tight), inner)
+            free = _without(context, Solution(outer.df.where(F.col(loose.column).isNull()), outer.bindings), Solution(inner.df, rest))
+            names = outer.df.columns
+            return Solution(bound.df.select(*names).union(free.df.select(*names)), outer.bindings)
     if not shared:
         return Solution(outer.df.join(inner.df.limit(1), F.lit(True), "left_anti"), outer.bindings)
     conditions = []
@@ -107,17 +142,20 @@ def _without(context: Context, outer: Solution, inner: Solution) -> Solution:
 
 
 def _merged(solutions: list[Solution], shared: list[list[Var]], outer: Solution) -> list[Solution]:
-    """Solutions that only share the same one resource with the outside, united to one list of its keys each."""
+    """Solutions that only share the same one resource with the outside, united to one list of its keys (and types) each."""
     out: list[Solution] = []
-    keys: dict[Var, list[DataFrame]] = {}
+    keys: dict[Var, list[Solution]] = {}
     for inner, names in zip(solutions, shared, strict=True):
         if len(names) == 1 and inner.bindings[names[0]].kind == outer.bindings[names[0]].kind == "res":
-            keys.setdefault(names[0], []).append(inner.df.select(F.col(inner.bindings[names[0]].key).alias("__absent")))
+            keys.setdefault(names[0], []).append(inner)
         else:
             out.append(inner)
-    for var, frames in keys.items():
-        name = fresh("k")
-        out.append(Solution(reduce(DataFrame.union, frames).withColumnRenamed("__absent", name), {var: Binding("res", key=name)}))
+    for var, inners in keys.items():
+        name, tag = fresh("k"), fresh("t")
+        bindings = [s.bindings[var] for s in inners]
+        sets = tuple(dict.fromkeys(s for b in bindings for s in b.sets))
+        frames = [s.df.select(F.col(b.key).alias(name), *([b.number().alias(tag)] if len(sets) > 1 else [])) for s, b in zip(inners, bindings, strict=True)]
+        out.append(Solution(reduce(DataFrame.union, frames), {var: Binding("res", key=name, tag=tag if len(sets) > 1 else "", sets=sets)}))
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgraph.functions.terms import order_keys
@@ -56,6 +58,26 @@ def finish(context: Context, solution: Solution, query: Query) -> DataFrame:
     hidden = [f"__k{i}" for i in range(len(keys))]
     df = solution.df.select(*[_column(solution, v).alias(n) for v, n in zip(columns, names, strict=True)], *[k.alias(h) for (k, _), h in zip(keys, hidden, strict=True)])
     by = [F.col(h).desc_nulls_last() if d else F.col(h).asc_nulls_first() for h, (_, d) in zip(hidden, keys, strict=True)]
-    within = Window.partitionBy(*names).orderBy(*by)
-    df = df.withColumn("__place", F.row_number().over(within)).where("__place = 1")
+    df = _firsts(df, names, [(h, d) for h, (_, d) in zip(hidden, keys, strict=True)])
     return _slice(df.orderBy(*by), query).select(*[F.col(n).alias(v.name) for n, v in zip(names, columns, strict=True)])
+
+
+def _firsts(df: DataFrame, names: list[str], keys: list[tuple[str, bool]]) -> DataFrame:
+    """Of each group of rows equal in ``names`` the first one by ``keys`` (column, whether descending).
+
+    Structs compare field by field with nulls lowest, so the first by keys of one
+    direction is a minimum or maximum, which is added up before the shuffle. Where
+    the direction changes, the rows that are first so far go on to the next keys.
+    """
+    runs = [(d, [h for h, _ in run]) for d, run in groupby(keys, key=lambda k: k[1])]
+    for i, (descending, run) in enumerate(runs):
+        done = [h for _, past in runs[:i] for h in past]
+        best = (F.max if descending else F.min)(F.struct(*run)).alias("__best")
+        firsts = df.groupBy(*names, *done).agg(best).select(*names, *done, *[F.col("__best")[h].alias(h) for h in run])
+        if i == len(runs) - 1:
+            return firsts
+        fixed = [*names, *done, *run]
+        first = firsts.select(*[F.col(c).alias(f"__f{j}") for j, c in enumerate(fixed)])
+        same = [F.col(c).eqNullSafe(F.col(f"__f{j}")) for j, c in enumerate(fixed)]
+        df = df.join(first, same, "left_semi")
+    return df

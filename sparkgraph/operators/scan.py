@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,7 @@ class _TypeScan:
         if isinstance(pattern.subject, Var):
             for name, field in self.found.pop(pattern.subject, []):
                 if isinstance(field, Field) and field.is_ref:
-                    self.df = self.df.where(F.col(name) == F.col(_ID))
+                    self.df = self.df.where(F.col(name) == F.col(_ID) if type_.iri in field.targets else F.lit(False))
                 else:
                     self.df = self.df.where(F.col(name) == F.col(_SUBJECT) if field == "iri" else F.lit(False))
 
@@ -109,52 +110,75 @@ class _TypeScan:
         return reduce(DataFrame.union, parts)
 
     def scan_fields(self, predicate: Var, value: Term) -> None:
-        """One row for each triple of the subject, its type included; references become IRIs."""
+        """One row for each triple of the subject, its type included; references become IRIs.
+
+        Literals and references are exploded apart, each from its own columns,
+        and only references are joined with their targets. A bound IRI is first
+        looked for among the targets.
+        """
         ranges: dict[tuple[str, ...], int] = {}
-        options = []
+        plain, refs = [], []
         for field in self.type.fields:
-            column = F.col(self.names[field.column])
             if isinstance(value, Literal) and field.is_ref or isinstance(value, Iri) and not field.is_ref:
                 continue
-            number = ranges.setdefault(field.targets, len(ranges)) if field.is_ref else -1
-
+            column = F.col(self.names[field.column])
             each = F.coalesce(_elements(column), F.array().cast(f"array<{SPARK_TYPES[field.kind]}>")) if field.many else F.array(column)
-            options.append(F.transform(each, _entry(field, value, number)))
-        if not isinstance(value, Literal) and not (isinstance(value, Iri) and value.value != self.type.iri and not options):
+            number = ranges.setdefault(field.targets, len(ranges)) if field.is_ref else -1
+            (refs if field.is_ref else plain).append(F.transform(each, _entry(field, value, number)))
+        if isinstance(value, Var) or isinstance(value, Iri) and value.value == self.type.iri:
             own = (RDF_TYPE, "iri", self.type.iri, None, -1)
             kinds = ("string", "string", "string", "string", "int")
-            options.append(F.array(F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(own, kinds, ("p", "kind", "lex", "dt", "range"), strict=True)])))
-        if not options:
-            self.df = self.df.where(F.lit(False))
-            options = [F.array().cast("array<struct<p:string,kind:string,lex:string,dt:string,range:int>>")]
-        name = fresh("t")
-        every = F.filter(F.concat(*options), lambda t: t.isNotNull())
-        self.df = self.df.withColumn(name, F.explode(every))
-        lex = F.col(name)["lex"]
-        if ranges:
-            parts = []
-            for targets, number in ranges.items():
-                for target in targets:
-                    t = self.context.catalog.type(target)
-                    rows = self.context.catalog.rows(self.context.spark, target, ())
-                    parts.append(rows.select(F.lit(number).alias("__range"), F.col(t.id_column).cast("string").alias("__key"), F.col(t.subject_column).alias("__iri")))
-            found = reduce(DataFrame.union, parts)
-            iri = fresh("iri")
-            here = (F.col(name)["range"] == F.col("__range")) & (F.col(name)["lex"] == F.col("__key"))
-            self.df = self.df.join(found, here, "left").withColumnRenamed("__iri", iri).drop("__range", "__key")
-            lex = F.when(F.col(name)["range"] >= 0, F.col(iri)).otherwise(lex)
-            self.df = self.df.where(lex.isNotNull())  # a reference to nothing is no triple
-        if isinstance(value, Iri):
-            self.df = self.df.where(lex == value.value)
+            plain.append(F.array(F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(own, kinds, ("p", "kind", "lex", "dt", "range"), strict=True)])))
+        name, lex, taken = fresh("t"), fresh("lex"), set(self.names.values())
+        before = [c for c in self.df.columns if c not in taken]
+        # A later scan of the same pattern needs the fields again.
+        before += [c for c in self.df.columns if c in taken]
+        parts = []
+        for options in (plain, refs):
+            if options:
+                triples = self.df.withColumn(name, F.explode(F.filter(F.concat(*options), lambda t: t.isNotNull())))
+                parts.append(self._resolved(triples, name, lex, ranges, value) if options is refs else triples.withColumn(lex, F.col(name)["lex"]))
+        if parts:
+            self.df = reduce(DataFrame.unionByName, [p.select(*before, name, lex) for p in parts])
+        else:
+            none = F.lit(None).cast("struct<p:string,kind:string,lex:string,dt:string,range:int>")
+            self.df = self.df.where(F.lit(False)).withColumn(name, none).withColumn(lex, F.lit(None).cast("string"))
         self.add(predicate, F.col(name)["p"], "iri")
         if isinstance(value, Var):
-            self.add(value, F.struct(F.col(name)["kind"].alias("kind"), lex.alias("lex"), F.col(name)["dt"].alias("dt")), "term")
+            self.add(value, F.struct(F.col(name)["kind"].alias("kind"), F.col(lex).alias("lex"), F.col(name)["dt"].alias("dt")), "term")
+
+    def _resolved(self, triples: DataFrame, name: str, lex: str, ranges: dict[tuple[str, ...], int], value: Term) -> DataFrame:
+        """References with the IRIs of what they point to; one to nothing is no triple, and of several targets the first counts."""
+        parts = []
+        for targets, number in ranges.items():
+            for place, target in enumerate(targets):
+                t = self.context.catalog.type(target)
+                rows = self.context.catalog.rows(self.context.spark, target, ())
+                iri = F.col(t.subject_column).alias("__iri")
+                parts.append(
+                    (number, place, len(targets), rows.select(F.lit(number).alias("__range"), F.col(t.id_column).cast("string").alias("__key"), iri, F.lit(place).alias("__place")))
+                )
+        shown = [rows for *_, rows in parts]
+        found = reduce(DataFrame.union, shown)
+        if any(n > 1 for _, _, n, _ in parts):
+            single = [rows.drop("__place") for _, _, n, rows in parts if n == 1]
+            several = reduce(DataFrame.union, [rows for _, _, n, rows in parts if n > 1])
+            first = several.groupBy("__range", "__key").agg(F.min(F.struct("__place", "__iri")).alias("first")).select("__range", "__key", F.col("first.__iri").alias("__iri"))
+            found = reduce(DataFrame.union, [*single, first])
+        else:
+            found = found.drop("__place")
+        if isinstance(value, Iri):
+            found = found.where(F.col("__iri") == value.value)
+        here = (F.col(name)["range"] == F.col("__range")) & (F.col(name)["lex"] == F.col("__key"))
+        return triples.join(found, here).withColumnRenamed("__iri", lex)
 
 
 def _same(a: tuple[str, Field | str], b: tuple[str, Field | str]) -> Column:
     """Equality of two occurrences of a variable in one row."""
     kinds = [f if isinstance(f, str) else "ref" if f.is_ref else f.kind for _, f in (a, b)]
     x, y = F.col(a[0]), F.col(b[0])
+    if kinds == ["ref", "ref"] and not set(a[1].targets) & set(b[1].targets):  # type: ignore[union-attr]
+        return F.lit(False)
     if kinds[0] == kinds[1]:
         return x["lex"].eqNullSafe(y["lex"]) & (x["kind"] == y["kind"]) & x["dt"].eqNullSafe(y["dt"]) if kinds[0] == "term" else x == y
     if all(k in NUMERIC for k in kinds):
@@ -172,10 +196,11 @@ def scan(context: Context, pattern: Pattern) -> Solution:
     bindings: dict[Var, Binding] = {}
     columns: list[list[Column]] = [[] for _ in parts]
     if isinstance(pattern.subject, Var):
-        key, iri = fresh("k"), fresh("s")
-        bindings[pattern.subject] = Binding("res", key=key, iri=iri, types=tuple(pattern.types))
-        for out in columns:
-            out += [F.col(_ID).alias(key), F.col(_SUBJECT).alias(iri)]
+        key, iri, tag = fresh("k"), fresh("s"), fresh("t")
+        sets = tuple(context.typed((t,)) for t in pattern.types)
+        bindings[pattern.subject] = Binding("res", key=key, iri=iri, tag=tag if len(sets) > 1 else "", sets=sets)
+        for out, (number, _) in zip(columns, sets, strict=True):
+            out += [F.col(_ID).alias(key), F.col(_SUBJECT).alias(iri), *([F.lit(number).alias(tag)] if len(sets) > 1 else [])]
     for i, part in enumerate(parts):
         for var, found in part.found.items():
             # Where an occurrence is a mixed term, references among the others are looked up.
@@ -183,14 +208,21 @@ def scan(context: Context, pattern: Pattern) -> Solution:
                 part.found[var] = found = [_looked_up(context, part, n, f) if isinstance(f, Field) and f.is_ref else (n, f) for n, f in found]
             for other in found[1:]:
                 part.df = part.df.where(_same(found[0], other))
+            targets = [f.targets for _, f in found if isinstance(f, Field) and f.is_ref]
+            if len(targets) == len(found) > 1 and (both := tuple(t for t in targets[0] if all(t in more for more in targets))):
+                part.found[var] = [(found[0][0], replace(found[0][1], targets=both))]  # type: ignore[type-var]
     for var in dict.fromkeys(v for p in parts for v in p.found):
         firsts = [p.found[var][0] for p in parts]
         forms = [f if isinstance(f, str) else "ref" if f.is_ref else f.kind for _, f in firsts]
         name = fresh("v")
         if set(forms) == {"ref"}:
-            targets = tuple(dict.fromkeys(t for _, f in firsts if isinstance(f, Field) for t in f.targets))
-            bindings[var] = Binding("res", key=name, types=targets)
+            each = [context.typed(f.targets) for _, f in firsts if isinstance(f, Field)]
+            sets, tag = tuple(dict.fromkeys(each)), fresh("t")
+            bindings[var] = Binding("res", key=name, tag=tag if len(sets) > 1 else "", sets=sets)
             made = [F.col(n) for n, _ in firsts]
+            if len(sets) > 1:
+                for out, (number, _) in zip(columns, each, strict=True):
+                    out.append(F.lit(number).alias(tag))
         elif set(forms) == {"iri"}:
             bindings[var] = Binding("iri", name)
             made = [F.col(n) for n, _ in firsts]
@@ -218,6 +250,6 @@ def scan(context: Context, pattern: Pattern) -> Solution:
 def _looked_up(context: Context, part: _TypeScan, name: str, field: Field) -> tuple[str, str]:
     """A reference's column as IRIs."""
     var = Var("__lookup")
-    found = with_iri(context, Solution(part.df, {var: Binding("res", key=name, types=field.targets)}), var)
+    found = with_iri(context, Solution(part.df, {var: Binding("res", key=name, sets=(context.typed(field.targets),))}), var)
     part.df = found.df
     return found.bindings[var].iri, "iri"

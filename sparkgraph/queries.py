@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgraph.session import GraphSession
-from sparkgraph.tpch_graph import BASE, PREFIX, tpch_catalog
+from sparkgraph.tpch_graph import BASE, PREFIX, shared_ids_catalog, tpch_catalog
 
 _P = f"PREFIX t: <{PREFIX}>\n"
 _A = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -119,6 +119,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT ?a ?b WHERE { ?a a t:Customer ; t:balance ?x . ?b a t:Supplier ; t:balance ?x }",
         f"SELECT {_iri('customer', 'c_custkey')} AS a, {_iri('supplier', 's_suppkey')} AS b FROM customer JOIN supplier ON CAST(c_acctbal AS DOUBLE) = CAST(s_acctbal AS DOUBLE)",
     ),
+    "value_join_dates": (
+        'SELECT ?a ?b WHERE { ?a a t:Order ; t:placed ?x ; t:status "P" . ?b a t:LineItem ; t:shipped ?x ; t:flag "R" }',
+        f"""SELECT {_iri('order', 'o_orderkey')} AS a, {_LINE} AS b FROM orders JOIN lineitem ON o_orderdate = l_shipdate WHERE o_orderstatus = 'P' AND l_returnflag = 'R'""",
+    ),
     "ref_resolve_single": (
         "SELECT ?o ?c WHERE { ?o t:customer ?c }",
         f"SELECT {_iri('order', 'o_orderkey')} AS o, CASE WHEN c_custkey IS NOT NULL THEN {_iri('customer', 'c_custkey')} END AS c FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
@@ -172,6 +176,20 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT ?p WHERE { ?p t:brand ?b . FILTER NOT EXISTS { [] t:hasPart ?p } }",
         f"SELECT {_iri('part', 'p_partkey')} AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey = p_partkey)",
     ),
+    "not_exists_decorrelated_flag": (
+        'SELECT ?o WHERE { ?o t:status ?s . FILTER NOT EXISTS { ?l t:order ?o ; t:flag "R" } }',
+        f"""SELECT {_iri('order', 'o_orderkey')} AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""",
+    ),
+    "not_exists_undef": (
+        'SELECT ?st ?pr WHERE { VALUES (?st ?pr) { ("F" "1-URGENT") ("Z" UNDEF) (UNDEF "9-NONE") ("O" "9-NONE") } FILTER NOT EXISTS { ?o t:status ?st ; t:priority ?pr } }',
+        """SELECT st, pr FROM (VALUES ('F', '1-URGENT'), ('Z', NULL), (NULL, '9-NONE'), ('O', '9-NONE')) v(st, pr) WHERE NOT EXISTS (SELECT 1 FROM orders
+        WHERE o_orderpriority <> '5-LOW' AND (st IS NULL OR st = o_orderstatus) AND (pr IS NULL OR pr = o_orderpriority))""",
+    ),
+    "distinct_order_mixed": (
+        "SELECT DISTINCT ?status ?priority WHERE { ?o t:status ?status ; t:priority ?priority ; t:total ?total ; t:placed ?placed } ORDER BY DESC(?placed) ?total LIMIT 7",
+        """SELECT status, priority FROM (SELECT o_orderstatus AS status, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority
+        ORDER BY o_orderdate DESC, o_totalprice) AS n, o_orderdate AS d, o_totalprice AS t FROM orders WHERE o_orderpriority <> '5-LOW') WHERE n = 1 ORDER BY d DESC, t LIMIT 7""",
+    ),
     "not_exists_combined": (
         'SELECT ?c WHERE { ?c t:segment [] . FILTER (NOT EXISTS { ?o t:customer ?c ; t:status "P" } && NOT EXISTS { ?e t:actor ?c ; t:kind "click" }) }',
         f"""SELECT {_iri('customer', 'c_custkey')} AS c FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'
@@ -297,10 +315,41 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: Over the catalogue whose types share their ids.
+_LINE_ITEM = _iri("LineItem", "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey")
+SHARED: dict[str, tuple[str, str]] = {
+    "shared_ids_join": (
+        "SELECT ?x ?pname WHERE { ?x t:partner ?p ; t:status \"F\" . ?p t:name ?pname }",
+        f"""SELECT {_iri('Order', 'o_orderkey')} AS x, c_name AS pname FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'
+        UNION ALL SELECT {_LINE_ITEM}, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linestatus = 'F'""",
+    ),
+    "shared_ids_not_exists": (
+        'SELECT ?p WHERE { ?p t:balance ?b FILTER NOT EXISTS { ?x t:partner ?p ; t:status "F" } FILTER NOT EXISTS { ?e t:actor ?p ; t:kind "click" } }',
+        f"""SELECT {_iri('Customer', 'c_custkey')} AS p FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
+        AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'click')
+        UNION ALL SELECT {_iri('Supplier', 's_suppkey')} FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linestatus = 'F')
+        AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = s_suppkey AND event_type = 'click')""",
+    ),
+    "shared_ids_resolve": (
+        'SELECT ?x ?p WHERE { ?x t:partner ?p ; t:status "O" }',
+        f"""SELECT {_iri('Order', 'o_orderkey')} AS x, CASE WHEN c_custkey IS NOT NULL THEN {_iri('Customer', 'c_custkey')} END AS p
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O'
+        UNION ALL SELECT {_LINE_ITEM}, CASE WHEN s_suppkey IS NOT NULL THEN {_iri('Supplier', 's_suppkey')} END
+        FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_linestatus = 'O'""",
+    ),
+    "shared_ids_resolve_first": (
+        "SELECT ?e ?a WHERE { ?e t:actor ?a }",
+        f"""SELECT {_iri('Event', 'event_id')} AS e, CASE WHEN s_suppkey IS NOT NULL THEN {_iri('Supplier', 's_suppkey')}
+        WHEN c_custkey IS NOT NULL THEN {_iri('Customer', 'c_custkey')} END AS a
+        FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN supplier ON s_suppkey = user_id""",
+    ),
+}
+
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = GraphSession(spark, tpch_catalog(sf_dir)).sparql(_P + TEXTS[name][0])
+        catalog, text = (tpch_catalog(sf_dir), TEXTS[name][0]) if name in TEXTS else (shared_ids_catalog(sf_dir), SHARED[name][0])
+        df = GraphSession(spark, catalog).sparql(_P + text)
         mixed = [f.name for f in df.schema.fields if f.dataType.typeName() == "struct"]
         return df.withColumns({c: F.col(f"`{c}`.lex") for c in mixed}) if mixed else df
 
@@ -308,5 +357,5 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _run(name) for name in TEXTS}
-ORACLES = {name: sql for name, (_, sql) in TEXTS.items()}
+QUERIES = {name: _run(name) for name in (*TEXTS, *SHARED)}
+ORACLES = {name: sql for name, (_, sql) in (TEXTS | SHARED).items()}

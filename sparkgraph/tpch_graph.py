@@ -166,3 +166,37 @@ def tpch_catalog(sf_dir: str) -> GraphCatalog:
         return made.withColumn("_subject", F.concat(F.lit(BASE), "_id"))
 
     return GraphCatalog.from_spec(SPEC).bind(source)
+
+
+#: Types whose ids are the plain integer keys of their tables, so that all types share them.
+SHARED_SPEC = {
+    "prefixes": {"t": PREFIX},
+    "types": {
+        "t:Nation": {"id": "id", "fields": {"name": ["t:name", "string"]}},
+        "t:Customer": {"id": "id", "fields": {"name": ["t:name", "string"], "nation": ["t:nation", "t:Nation"], "balance": ["t:balance", "double"]}},
+        "t:Supplier": {"id": "id", "fields": {"name": ["t:name", "string"], "nation": ["t:nation", "t:Nation"], "balance": ["t:balance", "double"]}},
+        "t:Order": {"id": "id", "fields": {"partner": ["t:partner", "t:Customer"], "status": ["t:status", "string"]}},
+        "t:LineItem": {"id": "id", "fields": {"partner": ["t:partner", "t:Supplier"], "status": ["t:status", "string"]}},
+        "t:Event": {"id": "id", "fields": {"actor": ["t:actor", "t:Supplier|t:Customer"], "kind": ["t:kind", "string"]}},
+    },
+}
+
+
+def shared_ids_catalog(sf_dir: str) -> GraphCatalog:
+    """A catalogue over the same tables in which ids are integers that several types have."""
+    tables = {
+        "Nation": ("nation", ("n_nationkey",), {"name": "n_name"}),
+        "Customer": ("customer", ("c_custkey",), {"name": "c_name", "nation": "c_nationkey", "balance": "CAST(c_acctbal AS DOUBLE)"}),
+        "Supplier": ("supplier", ("s_suppkey",), {"name": "s_name", "nation": "s_nationkey", "balance": "CAST(s_acctbal AS DOUBLE)"}),
+        "Order": ("orders", ("o_orderkey",), {"partner": "o_custkey", "status": "o_orderstatus"}),
+        "LineItem": ("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), {"partner": "l_suppkey", "status": "l_linestatus"}),
+        "Event": ("events", ("event_id",), {"actor": "user_id", "kind": "event_type"}),
+    }
+
+    def source(spark: SparkSession, type_: ResourceType, columns: frozenset[str] | None = None) -> DataFrame:
+        name, keys, fields = tables[type_.table]
+        subject = F.concat(F.lit(f"{BASE}{type_.table}/"), F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+        made = [F.expr(e).alias(c) for c, e in fields.items()]
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(subject.alias("_subject"), F.col(keys[0]).alias("id"), *made)
+
+    return GraphCatalog.from_spec(SHARED_SPEC).bind(source)

@@ -226,3 +226,101 @@ def test_two_variables_over_one_array_of_every_part(spark):
         n_parts = db.execute("SELECT count(*) FROM part").fetchone()[0]
     got = [tuple(r) for r in queries()[name](spark, folder).collect()]
     assert sorted(got) == sorted(want) and len({r[0] for r in got}) == n_parts
+
+
+SHARED = {
+    "ex:Owner": {"fields": {"name": ["ex:name", "string"], "pet": ["ex:pet", "ex:Cat"]}, "id": "id"},
+    "ex:Kennel": {"fields": {"name": ["ex:name", "string"], "pet": ["ex:pet", "ex:Dog"]}, "id": "id"},
+    "ex:Zoo": {"fields": {"name": ["ex:name", "string"], "any": ["ex:any", "ex:Dog|ex:Cat"]}, "id": "id"},
+    "ex:Cat": {"fields": {"call": ["ex:call", "string"]}, "id": "id"},
+    "ex:Dog": {"fields": {"call": ["ex:call", "string"]}, "id": "id"},
+}
+SHARED_ROWS = {
+    "Owner": [{"_subject": EX + "o1", "id": "1", "name": "Ann", "pet": "1"}],
+    "Kennel": [{"_subject": EX + "k1", "id": "1", "name": "Kay", "pet": "1"}],
+    "Zoo": [{"_subject": EX + "z1", "id": "1", "name": "Zed", "any": "1"}, {"_subject": EX + "z2", "id": "2", "name": "Zoe", "any": "2"}, {"_subject": EX + "z3", "id": "3", "name": "Zac", "any": "3"}],
+    "Cat": [{"_subject": EX + "cat1", "id": "1", "call": "Tom"}, {"_subject": EX + "cat2", "id": "2", "call": "Kit"}],
+    "Dog": [{"_subject": EX + "dog1", "id": "1", "call": "Rex"}],
+}
+
+
+@pytest.fixture(scope="module")
+def ask_shared(spark):
+    session = GraphSession(spark, catalog(SHARED).bind(from_records(SHARED_ROWS)))
+    return lambda text: sorted(
+        tuple(v.removeprefix(EX) if isinstance(v, str) else v for v in row) for row in session.sparql(P + text).collect()
+    )
+
+
+def test_ids_that_types_share(ask_shared):
+    """The key 1 stands for another resource in each type."""
+    assert ask_shared("SELECT ?n ?c { ?o ex:name ?n ; ex:pet ?p . ?p ex:call ?c }") == [("Ann", "Tom"), ("Kay", "Rex")]
+    assert ask_shared("SELECT ?p ?o { ?p ex:call ?c . ?o ex:pet ?p }") == [("cat1", "o1"), ("dog1", "k1")]
+    assert ask_shared("SELECT ?n ?p { ?o ex:name ?n ; ex:pet ?p }") == [("Ann", "cat1"), ("Kay", "dog1")]
+    assert ask_shared('SELECT ?a ?b { ?a ex:call ?x . ?b ex:pet ?a FILTER NOT EXISTS { ?b ex:name "Ann" } }') == [("dog1", "k1")]
+    assert ask_shared('SELECT ?a { ?a ex:call ?x FILTER NOT EXISTS { ?b ex:pet ?a ; ex:name "Ann" } }') == [("cat2",), ("dog1",)]
+    assert ask_shared("SELECT ?x ?y { ?x a ex:Owner ; ex:pet ?p . ?y a ex:Kennel ; ex:pet ?p }") == []
+    assert ask_shared("SELECT ?p { ?x ex:pet ?p VALUES ?p { <http://example.org/dog1> } }") == [("dog1",)]
+    assert ask_shared("SELECT ?x { ?x ?q ?p . ?p a ex:Cat ; ex:call \"Tom\" }") == [("o1",)]
+
+
+def test_reference_to_several_types_that_share_ids(ask_shared):
+    """Shown, such a reference is the first declared target that has the id; joined, any."""
+    assert ask_shared("SELECT ?n ?p { ?z ex:name ?n ; ex:any ?p }") == [("Zac", None), ("Zed", "dog1"), ("Zoe", "cat2")]
+    assert ask_shared("SELECT ?n ?c { ?z ex:name ?n ; ex:any ?p . ?p ex:call ?c }") == [("Zed", "Rex"), ("Zed", "Tom"), ("Zoe", "Kit")]
+    assert ask_shared("SELECT ?n ?x { ?z ex:name ?n ; ex:any ?p . ?x ex:pet ?p }") == [("Zed", "k1"), ("Zed", "o1")]
+    assert ask_shared("SELECT ?c { ?p ex:call ?c FILTER NOT EXISTS { ?z ex:any ?p } }") == []
+    assert ask_shared("SELECT (COUNT(*) AS ?n) { ?z a ex:Zoo ; ?p ?x }") == [(8,)]
+    assert ask_shared("SELECT ?z ?p { ?z ex:any ?p . ?k a ex:Kennel ; ex:pet ?p }") == [("z1", "dog1")]
+
+
+def test_plans_of_field_scans_and_unbound_values(spark):
+    session = GraphSession(spark, CATALOG)
+    plan = session.sparql(P + "SELECT ?s ?p ?o { ?s ?p ?o }")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan  # literals are in no join
+    bound = session.sparql(P + "SELECT ?s ?p { ?s ?p <http://example.org/dog1> }")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in bound and "Filter" in bound
+    text = 'SELECT ?x ?y { VALUES (?x ?y) { ("Tom" UNDEF) (UNDEF 3) ("Zed" 1) } FILTER NOT EXISTS { ?p ex:call ?x ; ex:age ?y } }'
+    plan = session.sparql(P + text)._jdf.queryExecution().executedPlan().toString()
+    # Only rows with nothing bound are not equi-joined: they ask whether there is one row.
+    assert plan.count("NestedLoop") == 1 and "Limit 1" in plan and "Cartesian" not in plan
+    assert {tuple(r) for r in session.sparql(P + text).collect()} == {("Tom", None), ("Zed", 1)}
+    plan = session.sparql(P + "SELECT DISTINCT ?c { ?p ex:call ?c } ORDER BY DESC(?p)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_distinct_by_hidden_keys_of_mixed_directions(ask):
+    assert ask("SELECT DISTINCT ?c { ?p ex:call ?c } ORDER BY DESC(?c) ?p") == [("Tom",), ("Rex",)]
+    assert ask("SELECT DISTINCT ?n { ?s a ?t ; ex:name ?n } ORDER BY DESC(?t) ?s LIMIT 3") == [("Alice",), ("Bob",), ("O'Neil",)]
+
+
+def test_jdbc_source(spark, tmp_path):
+    """A database in Derby, which Spark carries: types decoded, nulls kept, read in parts."""
+    from sparkgraph.sources import from_jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    kinds = {
+        "ex:Thing": {
+            "fields": {
+                "name": ["ex:name", "string"], "size": ["ex:size", "integer"], "share": ["ex:share", "double"], "ratio": ["ex:ratio", "float"],
+                "price": ["ex:price", "decimal"], "ok": ["ex:ok", "boolean"], "day": ["ex:day", "date"], "at": ["ex:at", "datetime"], "next": ["ex:next", "ex:Thing"],
+            },
+            "table": "THING", "subject": "_subject", "id": "id",
+        }
+    }
+    rows = [
+        (EX + "t1", 1, "one", 10, 0.5, 1.5, Decimal("2.50"), True, dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5), 2),
+        (EX + "t2", 2, None, None, None, None, None, None, None, None, 1),
+        (EX + "t3", 3, "it's", -7, -0.25, 0.0, Decimal("-1.00"), False, dt.date(1969, 12, 31), dt.datetime(1969, 12, 31, 23, 59, 59), None),
+    ]
+    schema = "`_subject` string, id long, name string, size long, share double, ratio float, price decimal(10,2), ok boolean, day date, at timestamp, next long"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame(rows, schema).write.format("jdbc").options(url=url, dbtable="THING", **options).save()
+    for parts in (None, {"THING": ("id", 1, 4, 2)}):
+        session = GraphSession(spark, catalog(kinds).bind(from_jdbc(url, options, parts)))
+        assert parts is None or session.sparql(P + "SELECT ?t { ?t ex:next ?u }").rdd.getNumPartitions() == 2
+        got = session.sparql(P + "SELECT ?n ?s ?h ?r ?p ?k ?d ?a { ?t ex:name ?n ; ex:size ?s ; ex:share ?h ; ex:ratio ?r ; ex:price ?p ; ex:ok ?k ; ex:day ?d ; ex:at ?a }").collect()
+        assert sorted(tuple(r) for r in got) == sorted(r[2:10] for r in rows if r[2])
+        found = session.sparql(P + "SELECT ?t ?u { ?t ex:next ?u }").collect()
+        assert sorted(tuple(r) for r in found) == [(EX + "t1", EX + "t2"), (EX + "t2", EX + "t1")]
+        assert session.sparql(P + "SELECT ?t { ?t ex:size 10 ; ex:ok true }").collect() == [(EX + "t1",)]

@@ -53,12 +53,12 @@ def triples():
 TRIPLES = list(triples())
 
 
-def evaluate(group, start):
+def evaluate(group, start, triples):
     """All solutions, as a bag, by trying every triple for every pattern."""
     solutions = [start]
     for t in group.triples:
         grown = []
-        for solution, (s, p, o) in itertools.product(solutions, TRIPLES):
+        for solution, (s, p, o) in itertools.product(solutions, triples):
             new = dict(solution)
             for term, value in ((t.subject, s), (t.predicate, ("iri", p)), (t.object, o)):
                 if isinstance(term, Var):
@@ -72,7 +72,7 @@ def evaluate(group, start):
             else:
                 grown.append(new)
         solutions = grown
-    return [s for s in solutions if not any(evaluate(inner, s) for inner in group.absent)]
+    return [s for s in solutions if not any(evaluate(inner, s, triples) for inner in group.absent)]
 
 
 subjects = st.sampled_from(["?a", "?b", "?c", f"<{EX}p1>"])
@@ -86,14 +86,53 @@ groups = st.lists(pattern, min_size=1, max_size=3).map(" . ".join)
 @given(body=groups, absent=st.none() | st.lists(pattern, min_size=1, max_size=2).map(" . ".join))
 def test_same_solutions(spark, body, absent):
     text = f"PREFIX ex: <{EX}>\nSELECT * {{ {body} {f'FILTER NOT EXISTS {{ {absent} }}' if absent else ''} }}"
+    same_solutions(spark, CATALOG, TRIPLES, text)
+
+
+#: The same graph with ids that all types have; a reference to several types names one of only one of them.
+SHARED_IDS = {"t/1": "1", "t/2": "2", "t/3": "4", "p/1": "1", "p/2": "2", "p/3": "3", "g/1": "1", "g/2": "2"}
+SHARED_ROWS = {
+    name: [
+        {c: SHARED_IDS[v] if isinstance(v, str) and v in SHARED_IDS else [SHARED_IDS[x] for x in v] if c == "team" and v else v for c, v in row.items()}
+        for row in [{**row, "likes": {"p/1": "t/3", "p/2": "p/3", "p/3": "p/3"}[row["id"]]} if "likes" in row else row for row in rows]
+    ]
+    for name, rows in ROWS.items()
+}
+SHARED_CATALOG = catalog(TYPES).bind(from_records(SHARED_ROWS))
+
+
+def shared_triples():
+    by_type = {(name, row["id"]): row["_subject"] for name, rows in SHARED_ROWS.items() for row in rows}
+    for iri, type_ in SHARED_CATALOG.types.items():
+        for row in SHARED_ROWS[type_.table]:
+            s = ("iri", row["_subject"])
+            yield s, RDF_TYPE, ("iri", iri)
+            for f in type_.fields:
+                values = row[f.column] if f.many else [row[f.column]]
+                for v in dict.fromkeys(v for v in values or () if v is not None):
+                    found = [by_type[t.removeprefix(EX), v] for t in f.targets if (t.removeprefix(EX), v) in by_type]
+                    yield s, f.predicate, ("iri", found[0]) if f.is_ref else ("lit", str(v), f.kind)
+
+
+SHARED_TRIPLES = list(shared_triples())
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+@given(body=groups, absent=st.none() | st.lists(pattern, min_size=1, max_size=2).map(" . ".join))
+def test_same_solutions_with_shared_ids(spark, body, absent):
+    text = f"PREFIX ex: <{EX}>\nSELECT * {{ {body} {f'FILTER NOT EXISTS {{ {absent} }}' if absent else ''} }}"
+    same_solutions(spark, SHARED_CATALOG, SHARED_TRIPLES, text)
+
+
+def same_solutions(spark, cat, triples, text):
     query = parse(text)
     try:
-        df = GraphSession(spark, CATALOG).sparql(text)
+        df = GraphSession(spark, cat).sparql(text)
     except GraphError:
         return  # types or connection forbid it
     if not df.columns:
-        assert df.count() == len(evaluate(query.where, {})), text
+        assert df.count() == len(evaluate(query.where, {}, triples)), text
         return
-    want = sorted(tuple(s[v][1] for v in query.columns()) for s in evaluate(query.where, {}))
+    want = sorted(tuple(s[v][1] for v in query.columns()) for s in evaluate(query.where, {}, triples))
     got = sorted(tuple(v["lex"] if hasattr(v, "asDict") else str(v) for v in row) for row in df.collect())
     assert got == want, text
