@@ -107,15 +107,20 @@ def before(previous: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length in one compressed blob; 64-bit arrays go as one dictionary and indexes, without these where they count up."""
+    """Arrays of one length in one compressed blob.
+
+    64-bit arrays of hashes go as one dictionary and indexes, without these where
+    they count up; counts in the narrowest type that holds them.
+    """
     n = len(arrays[0])
     hashes = [a for a in arrays if a.dtype == np.uint64]
     values, index = np.unique(np.concatenate(hashes), return_inverse=True)
     plain = len(hashes) == 1 and len(values) == n and bool((index[1:] > index[:-1]).all())
-    out = [np.array((n, len(values), plain), np.int64).tobytes(), values.tobytes()]
+    counts = [_small(a) for a in arrays if a.dtype != np.uint64]
+    out = [np.array((n, len(values), plain, *(c.dtype.itemsize for c in counts)), np.int64).tobytes(), values.tobytes()]
     if not plain:
         out.append(index.astype(_width(len(values))).tobytes())
-    out += [a.astype(np.uint32).tobytes() for a in arrays if a.dtype != np.uint64]
+    out += [c.tobytes() for c in counts]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -126,8 +131,10 @@ def _width(size: int) -> type:
 def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     """The arrays of a blob; ``kinds`` has h for hashes, which come first, and n for counts."""
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n, size, plain = np.frombuffer(data, np.int64, 3).tolist()
-    values, at, out = np.frombuffer(data, np.uint64, size, 24), 24 + 8 * size, []
+    n, size, plain, *widths = np.frombuffer(data, np.int64, 3 + kinds.count("n")).tolist()
+    at = 8 * (3 + len(widths))
+    values, out = np.frombuffer(data, np.uint64, size, at), []
+    at += 8 * size
     for kind in kinds:
         if kind == "h" and plain:
             out.append(values)
@@ -135,8 +142,9 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
             out.append(values[np.frombuffer(data, _width(size), n, at)])
             at += n * np.dtype(_width(size)).itemsize
         else:
-            out.append(np.frombuffer(data, np.uint32, n, at).astype(np.int64))
-            at += 4 * n
+            width = widths.pop(0)
+            out.append(np.frombuffer(data, f"<u{width}", n, at).astype(np.int64))
+            at += width * n
     return out
 
 
@@ -157,11 +165,15 @@ def _batch(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
 def _by_shard(kind: int, keys: np.ndarray, bits: int, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     shard = shard_of(keys, bits)
     order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        part = order[ends[s] : ends[s + 1]]
-        if len(part):
-            yield _batch(_PACKED, [(s, kind, _pack(*(a[part] for a in arrays)))])
+    for s, begin, end in _runs(shard[order]):
+        part = order[begin:end]
+        yield _batch(_PACKED, [(s, kind, _pack(*(a[part] for a in arrays)))])
+
+
+def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each shard in a sorted list, and where its entries begin and end."""
+    cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))).tolist() if len(shards) else []
+    return zip(shards[cuts].tolist() if cuts else [], cuts, [*cuts[1:], len(shards)], strict=False)
 
 
 def _keys(grams: list[np.ndarray], bits: int) -> np.ndarray:
@@ -432,23 +444,22 @@ class Tables:
         asked, back = np.unique(keys, return_inverse=True)
         out = [np.zeros(len(asked), np.int64) for _ in columns]
         bits = self.model.bits
-        ends = np.searchsorted(shard_of(asked, bits), np.arange((1 << bits) + 1))
-        for s in range(1 << bits):
-            part = asked[ends[s] : ends[s + 1]]
-            have = self._array(f"{table}-{s}.key") if len(part) else None
+        for s, begin, end in _runs(shard_of(asked, bits)):
+            part = asked[begin:end]
+            have = self._array(f"{table}-{s}.key")
             if have is None or not len(have):
                 continue
             at = np.searchsorted(have, part)
             at[at == len(have)] = 0
             found = np.flatnonzero(have[at] == part)
             for values, column in zip(out, columns, strict=True):
-                values[ends[s] + found] = self._array(f"{table}-{s}.{column}")[at[found]]
+                values[begin + found] = self._array(f"{table}-{s}.{column}")[at[found]]
                 if table in ("pair", "triple"):
                     large, counts = self._array(f"{table}-{s}.{column}-large")
                     if len(large):
                         i = np.minimum(np.searchsorted(large, at[found]), len(large) - 1)
                         hit = large[i] == at[found]
-                        values[ends[s] + found[hit]] = counts[i[hit]]
+                        values[begin + found[hit]] = counts[i[hit]]
         return [v[back] for v in out]
 
     def log10(self, earlier: np.ndarray, previous: np.ndarray, word: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
