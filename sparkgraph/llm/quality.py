@@ -4,9 +4,17 @@ Heuristic labellers vote good, bad or not at all on each document; human
 labels, where a table has them, are one labeller more. Expectation-maximisation
 over the counts of vote patterns estimates how each labeller votes on good and
 on bad documents, and so a posterior label for each pattern. Posterior labels
-train a logistic scorer over hashed features (binned statistics and marks for
-quality, words and their beginnings for toxicity) by FTRL-proximal steps, whose L1 term leaves most weights zero. All
-documents are scored.
+are the targets of a logistic scorer over hashed features (binned statistics and
+marks for quality; words and their beginnings, by their share of the text, for
+toxicity), fitted by FTRL-proximal steps, whose L1 term leaves most weights zero.
+A document's weight is the odds of its posterior label, relative to the mean of
+its class, so that what people labelled counts more than what labellers could not
+see, in the same way with many labels, few or none. All documents are scored.
+
+Labellers of toxicity are word lists that overlap in the texts they find: in
+English one of insults, one of scorn, one of dehumanising words and one of
+profanity, one for each other language, one of insults near an address, and one
+of shouting. A list votes only on texts of its language, told by function words.
 
 One model is for quality and one for toxicity; a document is kept if neither
 finds it bad.
@@ -39,16 +47,48 @@ SLICE = 1 << 20
 #: How often a human label is taken to be right.
 HUMAN_ACCURACY = 0.99
 
-# Frequent function words of four languages, and common insults.
-FUNCTION_WORDS = (
-    "the of and to in a is that for it with was on as are be this by at from or an not have "
-    "de la que el en los del las un por con una su para es al lo como "
-    "le les des et est du une dans qui pour au sur avec ne pas ce "
-    "der die und das den von zu mit sich auf für ist im dem nicht ein eine als"
-).split()
-INSULTS = "idiot stupid trash moron scum loser pathetic worthless disgusting clown".split()
-
-_STOP, _INSULT = np.unique(hash_words(FUNCTION_WORDS)), np.unique(hash_words(INSULTS))
+# Frequent function words of four languages, and words that are used to insult, by language and kind.
+STOP = {
+    "en": "the of and to in a is that for it with was on as are be this by at from or an not have".split(),
+    "es": "de la que el en los del las un por con una su para es al lo como y no se".split(),
+    "fr": "de la le les des et est du une dans qui pour au sur avec ne pas ce que en un".split(),
+    "de": "der die und das den von zu mit sich auf für ist im dem nicht ein eine als in es".split(),
+}
+FUNCTION_WORDS = tuple(dict.fromkeys(w for words in STOP.values() for w in words))
+LISTS = {
+    ("en", "insult"): "idiot idiots moron morons loser losers clown clowns fool fools imbecile imbeciles jerk jerks dumbass creep creeps coward cowards freak freaks".split(),
+    ("en", "scorn"): "stupid pathetic worthless disgusting dumb ugly useless brainless ridiculous revolting repulsive despicable contemptible hideous".split(),
+    ("en", "dehumanising"): "trash scum vermin filth garbage parasite parasites subhuman cockroach cockroaches swine maggot maggots savages".split(),
+    ("en", "profanity"): "shit bullshit fuck fucking fucker bitch bastard bastards asshole assholes dick cunt whore slut damn crap".split(),
+    ("es", "any"): "idiota idiotas imbécil imbéciles estúpido estúpida tonto tonta basura escoria payaso perdedor perdedora inútil asqueroso asquerosa patético patética mierda cabrón puta puto gilipollas cobarde maldito".split(),
+    ("fr", "any"): "idiot idiote imbécile stupide crétin crétine ordure ordures raclure clown minable inutile dégoûtant dégoûtante pathétique merde connard connasse salaud salope pute lâche débile abruti".split(),
+    ("de", "any"): "idiot idioten dumm dummkopf trottel abschaum müll clown verlierer versager wertlos widerlich erbärmlich ekelhaft scheiße arschloch hurensohn schlampe feigling missgeburt blöd ungeziefer".split(),
+}
+ADDRESS = "you your youre ur eres tú usted tu vous toi es du bist ihr dich".split()
+
+_LANGUAGES = tuple(STOP)
+_KINDS = tuple(LISTS)
+
+
+def _table(words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all listed words, and for each a bit for every list that has it."""
+    bits: dict[str, int] = {}
+    for i, listed in enumerate(words.values()):
+        for w in listed:
+            bits[w] = bits.get(w, 0) | 1 << i
+    hashes = hash_words(list(bits))
+    order = np.argsort(hashes)
+    return hashes[order], np.array(list(bits.values()), np.int64)[order]
+
+
+_STOP, _HARSH, _ADDRESS = _table(STOP), _table(LISTS), _table({"address": ADDRESS})
+
+
+def _bits(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The lists that each word is in."""
+    keys, bits = table
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, bits[at], 0)
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -57,8 +97,14 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
-#: Statistics of a text, each with its bounds: under the first good, over the second bad (or the reverse).
-STATISTICS = ("symbols", "upper", "function", "repeated", "distinct", "ends", "letterless", "lines", "length", "marks", "insults")
+#: Statistics of a text for quality.
+FORM = ("symbols", "upper", "function", "repeated", "distinct", "ends", "letterless", "lines", "length", "marks")
+#: Statistics for toxicity: words of each list, listed words near an address, and words in capitals; then whether the text is in each language.
+HARSH = tuple(f"{language} {kind}" for language, kind in _KINDS)
+STATISTICS = (*FORM, *HARSH, "addressed", "shouted", *_LANGUAGES)
+
+#: Words on either side of a listed one where an address counts.
+NEAR = 4
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,6 +128,17 @@ def statistics(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hashes = words.hashes(lower=True)
     plain = Words(data, rows, ALNUM)
     plain_hashes = plain.hashes(lower=True)
+    stop, harsh = _bits(plain_hashes, _STOP), _bits(plain_hashes, _HARSH)
+    function = _sums(stop > 0, plain.first)
+    each = np.stack([_sums(stop >> i & 1, plain.first) for i in range(len(_LANGUAGES))])
+    # A text is in the language that most of its function words are of, if it has enough.
+    most = each.max(0)
+    spoken = (each == most) & (most >= 3) & (most >= 0.02 * plain.count)
+    address = np.concatenate(([0], np.cumsum(_bits(plain_hashes, _ADDRESS))))
+    at, of = np.arange(len(plain)), plain.row()
+    near = address[np.minimum(at + NEAR + 1, plain.first[1:][of])] - address[np.maximum(at - NEAR, plain.first[:-1][of])]
+    capitals = np.concatenate(([0], np.cumsum(_UPPER[data])))
+    shouted = (plain.end - plain.start > 3) & (capitals[plain.end] - capitals[plain.start] == plain.end - plain.start)
     letters, size = _sums(_LETTER[data], rows), _sums(SPACED[data], rows)
     upper = _sums(_UPPER[data], rows)
     symbols = _sums(_SYMBOL[data], rows)
@@ -103,7 +160,7 @@ def statistics(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         [
             symbols / np.maximum(size, 1),
             upper / np.maximum(letters, 1),
-            _sums(np.isin(plain_hashes, _STOP), plain.first) / np.maximum(plain.count, 1),
+            function / np.maximum(plain.count, 1),
             _sums(same, words.first) / some,
             distinct / some,
             _sums(ends, words.first) / some,
@@ -111,7 +168,10 @@ def statistics(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
             1 - _sums(new_line, lines.first) / np.maximum(lines.count, 1),
             size / some,
             _sums(_marked(words)[1], words.first) / some,
-            _sums(np.isin(plain_hashes, _INSULT), plain.first),
+            *(_sums(harsh >> i & 1, plain.first) for i in range(len(_KINDS))),
+            _sums((harsh > 0) & (near > 0), plain.first),
+            _sums(shouted, plain.first) / np.maximum(plain.count, 1),
+            *spoken,
         ],
         axis=1,
     )
@@ -131,37 +191,45 @@ QUALITY = (
     ("lines", 20, 0.20, 0.50),
     ("length", 10, 7.0, 12.0),
 )
-#: Toxicity labellers: any insult, or some.
-TOXICITY = (("insults", 1, 0.0, 1.0), ("insults", 1, 1.0, 2.0))
+#: Toxicity labellers: the same, and the language that a text must be in (or "").
+TOXICITY = (
+    *((name, 5, 0.0, 1.0, name.split()[0]) for name in HARSH),
+    ("addressed", 5, 0.0, 1.0, ""),
+    ("shouted", 10, 0.05, 0.30, ""),
+)
 
 
 def votes(stats: np.ndarray, n_words: np.ndarray, labellers: tuple) -> np.ndarray:
     """1 for bad, 0 for good, 2 for none; one column a labeller."""
     out = np.full((len(stats), len(labellers)), 2, np.uint8)
-    for i, (name, least, good, bad) in enumerate(labellers):
+    for i, (name, least, good, bad, *language) in enumerate(labellers):
         value = stats[:, STATISTICS.index(name)]
         enough = n_words >= least
+        if any(language):
+            enough = enough & (stats[:, STATISTICS.index(language[0])] > 0)
         out[enough & ((value <= good) if good < bad else (value >= good)), i] = 0
         out[enough & ((value >= bad) if good < bad else (value <= bad)), i] = 1
     return out
 
 
-def _listed(parts: list[tuple[np.ndarray, np.ndarray]], n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids of (hashes, rows) by row, and where each row's begin (n_rows + 1)."""
+def _listed(parts: list[tuple[np.ndarray, np.ndarray]], n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of (hashes, rows) by row, how often each occurs in its row, and where each row's begin (n_rows + 1)."""
     ids = np.concatenate([h for h, _ in parts]) >> np.uint64(64 - BITS)
     of = np.concatenate([r for _, r in parts]).astype(np.uint64)
     keyed = np.sort((of << np.uint64(BITS)) | ids)
-    keyed = keyed[np.concatenate(([True], keyed[1:] != keyed[:-1]))] if len(keyed) else keyed
+    new = np.flatnonzero(np.concatenate(([True], keyed[1:] != keyed[:-1]))) if len(keyed) else np.empty(0, np.int64)
+    counts = np.diff(np.concatenate((new, [len(keyed)])))
+    keyed = keyed[new]
     first = np.searchsorted(keyed >> np.uint64(BITS), np.arange(n_rows + 1).astype(np.uint64))
-    return (keyed & np.uint64((1 << BITS) - 1)).astype(np.int32), first
+    return (keyed & np.uint64((1 << BITS) - 1)).astype(np.int32), counts, first
 
 
-def form_features(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features for quality: statistics in bins, coarse and fine, and the symbols that words are or end in."""
+def form_features(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features for quality, each of value 1: statistics in bins, coarse and fine, and the symbols that words are or end in."""
     stats, n_words = statistics(data, rows)
     n_rows = len(rows) - 1
     parts = []
-    values = np.concatenate((np.minimum(stats[:, :-1], 20), np.log2(n_words + 1)[:, None]), axis=1)
+    values = np.concatenate((np.minimum(stats[:, : len(FORM)], 20), np.log2(n_words + 1)[:, None]), axis=1)
     for i, step in enumerate((8, 25, 80)):
         scale = np.array([step] * 8 + [step / 8, step, 1])
         bins = np.floor(values * scale).astype(np.uint64)
@@ -172,16 +240,23 @@ def form_features(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     lone, tail = np.flatnonzero((words.end - words.start == 1) & _SYMBOL[last]), np.flatnonzero(marked)
     marks = np.concatenate((last[lone].astype(np.uint64), data[words.end[tail] - 2].astype(np.uint64) * 256 + last[tail]))
     parts.append((mix(marks + np.uint64(1 << 44)), words.row()[np.concatenate((lone, tail))]))
-    return _listed(parts, n_rows)
+    ids, _, first = _listed(parts, n_rows)
+    return ids, np.ones(len(ids), np.float32), first
 
 
-def word_features(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features for toxicity: the words and their first 4, 5 and 6 bytes."""
+#: The share of a text's words at which a word's feature has its full value.
+FULL = 0.02
+
+
+def word_features(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features for toxicity: the words and their first 4, 5 and 6 bytes, with values that grow with their share of the text up to 1."""
     words = Words(data, rows, ALNUM)
-    row = words.row()
+    row, n_rows = words.row(), len(rows) - 1
     parts = [(words.hashes(lower=True), row)]
     parts += [(mix(words.hashes(lower=True, head=h) + np.uint64(h)), row) for h in (4, 5, 6)]
-    return _listed(parts, len(rows) - 1)
+    ids, counts, first = _listed(parts, n_rows)
+    values = np.minimum(counts / np.repeat(FULL * np.maximum(words.count, 1), np.diff(first)), 1)
+    return ids, values.astype(np.float32), first
 
 
 def estimate(patterns: list[str], counts: np.ndarray, human: int | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -215,33 +290,46 @@ def estimate(patterns: list[str], counts: np.ndarray, human: int | None = None,
     return post, rates, prior
 
 
-def screen(rows: list[np.ndarray], bad: np.ndarray, least: int = 3, ratio: float = 20.0) -> np.ndarray:
-    """Flags of the features that occur in ``least`` bad rows and ``ratio`` times as often in bad rows as in good ones.
+def class_weights(p: np.ndarray) -> np.ndarray:
+    """The weight of each row: the odds of its posterior label, up to those of a human one, relative to the mean of its class."""
+    sure = np.clip(np.maximum(p, 1 - p), 0.5, HUMAN_ACCURACY)
+    odds = sure / (1 - sure)
+    for c in (p > 0.5, p <= 0.5):
+        if c.any():
+            odds[c] /= odds[c].mean()
+    return odds
+
 
-    A text has hundreds of words of its own; without a screen a scorer learns
-    these by heart.
+def screened(seen: np.ndarray, n: np.ndarray, least: float = 2.0, ratio: float = 4.0) -> np.ndarray:
+    """Of features with the sums ``seen`` of values in good and in bad rows (2 columns) those that tell bad ones.
+
+    Their sum is ``least`` in bad rows, and their mean ``ratio`` times that in good
+    ones; the whole weights of both are ``n``. A text has hundreds of words of its
+    own; without a screen a scorer learns these by heart.
     """
-    size = (1 << BITS) + 1
-    seen = [np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(bad == c)] or [np.empty(0, np.int64)]), minlength=size) for c in (0, 1)]
-    n = max(1, int((bad == 0).sum())), max(1, int((bad == 1).sum()))
-    out = (seen[1] >= least) & ((seen[1] + 0.05) / n[1] > ratio * (seen[0] + 0.05) / n[0])
-    out[-1] = True  # the intercept
-    return out
+    n = np.maximum(n, 1)
+    return (seen[:, 1] >= least) & ((seen[:, 1] + 0.05) / n[1] > ratio * (seen[:, 0] + 0.05) / n[0])
 
 
-def fit(rows: list[np.ndarray], bad: np.ndarray, epochs: int = 6, alpha: float = 0.3, l1: float = 1.0, l2: float = 0.5) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the intercept) by FTRL-proximal; both classes weigh the same, up to tenfold."""
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, weight: np.ndarray, epochs: int = 6, alpha: float = 0.3, l1: float = 1.0, l2: float = 0.5
+) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the intercept) by FTRL-proximal.
+
+    A row is (feature ids, their values); ``p`` its probability to be bad and
+    ``weight`` its weight. Both classes weigh the same, up to tenfold.
+    """
     size = (1 << BITS) + 1
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     order = np.random.default_rng(7).permutation(len(rows))
-    share = float(bad.mean()) if len(rows) else 0.5
+    share = float(np.average(p > 0.5, weights=weight)) if len(rows) else 0.5
     gain = (min(10.0, max(1.0, share / max(1 - share, 1e-3))), min(10.0, max(1.0, (1 - share) / max(share, 1e-3))))
     for _ in range(epochs):
         for i in order:
-            x = rows[i]
+            x, value = rows[i]
             zi, root = z[x], np.sqrt(n[x])
             wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((1.0 + root) / alpha + l2))
-            g = (1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35))) - bad[i]) * gain[int(bad[i])]
+            g = (1 / (1 + np.exp(-np.clip(wi @ value, -35, 35))) - p[i]) * weight[i] * gain[int(p[i] > 0.5)] * value
             after = np.sqrt(root**2 + g * g)
             z[x] = zi + g - (after - root) / alpha * wi
             n[x] += g * g
@@ -273,14 +361,43 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("key"), *map(pa.array, said)], names=_VOTES.names)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SEEN = flat_schema("feature int, good double, bad double")
+
+
+def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word feature's values in good and in bad rows by their weights, added up in the task."""
+    seen = np.zeros(((1 << BITS), 2))
     for batch in batches:
         for rows, data, offsets in rows_by_bytes(batch, "text", SLICE):
-            lists = []
-            for ids, first in (form_features(data, offsets), word_features(data, offsets)):
-                lists.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)))
-            given = ["bad", "toxic", "sure"]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in given), *lists], names=[*given, "form", "words"])
+            ids, values, first = word_features(data, offsets)
+            p, weight = (rows.column(c).to_numpy() for c in ("toxic", "w_toxic"))
+            for c in (0, 1):
+                mine = np.where((p > 0.5) == c, weight, 0.0)
+                seen[:, c] += np.bincount(ids, values * np.repeat(mine, np.diff(first)), 1 << BITS)
+    some = np.flatnonzero(seen.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some, 0]), pa.array(seen[some, 1])], names=_SEEN.names)
+
+
+_GIVEN = ("bad", "toxic", "w_bad", "w_toxic")
+
+
+def _extract(kept):
+    """Features of the rows to fit on; of words only those that are kept (packed bits), so that a row is small however long its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.unpackbits(kept.value, count=1 << BITS).astype(bool)
+        for batch in batches:
+            for rows, data, offsets in rows_by_bytes(batch, "text", SLICE):
+                lists = []
+                for (ids, values, first), only in ((form_features(data, offsets), None), (word_features(data, offsets), use)):
+                    if only is not None:
+                        good = only[ids]
+                        first = np.concatenate(([0], np.cumsum(good)))[first]
+                        ids, values = ids[good], values[good]
+                    lists += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (ids, values)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in _GIVEN), *lists], names=[*_GIVEN, "form", "form_x", "words", "words_x"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
@@ -290,8 +407,11 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
     or other value is no vote, and of several labels of a document the worst
     counts. The documents to fit on are drawn by hash, a third of them each from
     those that look bad, toxic and clean, as far as there are so many, with
-    human labels first. If humans found at least 100 clean, only those stand for
-    clean, and for not toxic: what the labellers cannot see would pass as such.
+    human labels first. Posteriors are their targets and, as odds, their weights
+    (:func:`class_weights`); the rule is the same for any number of labels.
+    Without labels only what the labellers' words tell can be learned. What
+    reaches the driver of a document are its features for quality and those
+    words that pass a screen, not its text.
     """
     small_batches(docs.sparkSession)
     ident, text = F.col(id_col), F.col(text_col)
@@ -318,34 +438,35 @@ def train(docs: DataFrame, labels: DataFrame | None = None, max_train: int = MAX
             empty = np.zeros((1 << BITS) + 1)
             return Scorer(empty, empty, np.empty((2, 0)), np.empty((2, 0)))
         post, rates, _ = estimate([r[0] for r in rows], np.array([r.n for r in rows], float), None if labels is None else len(rows[0][0]) - 1)
-        labelled_clean = sum(r.n for r in rows if r[0].endswith("0"))
         found.append((spark.createDataFrame([(r[0], float(p)) for r, p in zip(rows, post, strict=True)], f"{kind} string, p_{kind} double"), rates))
     (quality, quality_rates), (toxicity, toxicity_rates) = found
     judged = voted.join(F.broadcast(quality), "quality").join(F.broadcast(toxicity), "toxicity")
     groups = (F.col("p_toxicity") > 0.5, (F.col("p_quality") > 0.5) & (F.col("p_toxicity") <= 0.5), (F.col("p_quality") <= 0.5) & (F.col("p_toxicity") <= 0.5))
     chosen = None
-    sure = F.lit(True)
-    if labels is not None and labelled_clean >= 100:
-        groups = (*groups[:2], groups[2] & F.col("toxicity").endswith("0"))
-        sure = F.col("toxicity").endswith("0") | (F.col("p_toxicity") > 0.5)
     for group in groups:
         part = judged.where(group).dropDuplicates(["key"]).orderBy(F.col("quality").endswith("2") & F.col("toxicity").endswith("2"), F.xxhash64("key")).limit(max_train // 3)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.select("key", F.col("p_quality").alias("bad"), F.col("p_toxicity").alias("toxic"), sure.alias("sure"))
-    sample = materialise(chosen, "sample")  # at most max_train short rows, so it may be broadcast
-    texts = keyed.select("key", "text").join(F.broadcast(sample), "key").dropDuplicates(["key"]).orderBy("key")
-    made = texts.select("bad", "toxic", "sure", "text").mapInArrow(_extract, "bad double, toxic double, sure boolean, form array<int>, words array<int>")
+    sample = chosen.select("key", F.col("p_quality").alias("bad"), F.col("p_toxicity").alias("toxic")).orderBy("key").toPandas()  # at most max_train short rows
+    for kind in ("bad", "toxic"):
+        sample[f"w_{kind}"] = class_weights(sample[kind].to_numpy())
+    given = materialise(spark.createDataFrame(sample, "key long, bad double, toxic double, w_bad double, w_toxic double"), "sample")
+    texts = materialise(keyed.select("key", "text").join(F.broadcast(given), "key").dropDuplicates(["key"]), "sample-texts")
+    seen = texts.select("toxic", "w_toxic", "text").mapInArrow(_see, _SEEN).groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    seen = seen.where("bad > 0").toPandas()  # at most 2**BITS rows
+    toxic = sample["toxic"].to_numpy() > 0.5
+    n = np.array([sample["w_toxic"].to_numpy()[toxic == c].sum() for c in (False, True)])
+    kept = np.zeros(1 << BITS, bool)
+    kept[seen["feature"].to_numpy()[screened(seen[["good", "bad"]].to_numpy(), n)]] = True
+    run = _extract(spark.sparkContext.broadcast(np.packbits(kept)))
+    made = texts.orderBy("key").select(*_GIVEN, "text").mapInArrow(run, "bad double, toxic double, w_bad double, w_toxic double, form array<int>, form_x array<float>, words array<int>, words_x array<float>")
     rows = made.toArrow()
     last, fitted = np.array([1 << BITS]), []
-    for kind, target in (("form", "bad"), ("words", "toxic")):
-        lists = [np.concatenate((x.values.to_numpy(), last)) for x in rows.column(kind)]
-        bad = (rows.column(target).to_numpy() > 0.5).astype(float)
-        if kind == "words":
-            known = np.flatnonzero(rows.column("sure").to_numpy())
-            lists, bad = [lists[i] for i in known], bad[known]
-            use = screen(lists, bad)
-            lists = [x[use[x]] for x in lists]
-        fitted.append(fit(lists, bad))
+    for name, target in (("form", "bad"), ("words", "toxic")):
+        lists = [
+            (np.concatenate((ids.values.to_numpy(), last)), np.concatenate((values.values.to_numpy(), [1.0])))
+            for ids, values in zip(rows.column(name), rows.column(f"{name}_x"), strict=True)
+        ]
+        fitted.append(fit(lists, rows.column(target).to_numpy(), rows.column(f"w_{target}").to_numpy()))
     return Scorer(*fitted, quality_rates, toxicity_rates)
 
 
@@ -368,8 +489,8 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str
         for batch in batches:
             for rows, data, offsets in rows_by_bytes(batch, text, SLICE):
                 out = []
-                for each, (ids, first) in zip(w, (form_features(data, offsets), word_features(data, offsets)), strict=True):
-                    sums = np.concatenate(([0.0], np.cumsum(each[ids], dtype=float)))
+                for each, (ids, values, first) in zip(w, (form_features(data, offsets), word_features(data, offsets)), strict=True):
+                    sums = np.concatenate(([0.0], np.cumsum(each[ids] * values, dtype=float)))
                     out.append(pa.array(1 / (1 + np.exp(-np.clip(sums[first[1:]] - sums[first[:-1]] + each[-1], -35, 35)))))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *out], schema=arrow)
 
