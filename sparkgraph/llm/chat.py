@@ -44,7 +44,8 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
     Turns are taken in the order of ``order``, ties by role and text; a null
     order comes first, null roles and texts are empty, and repeated rows are
     repeated turns. Rows without a key are one conversation. A conversation is
-    one output row, so its turns meet in one task; nothing larger does.
+    one output row, so its turns meet in one task; nothing larger does. Work
+    grows as its turns to the power of 1.5.
     """
     turn = F.struct(
         F.col(order).alias("turn"),
@@ -68,29 +69,45 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
         ),
     )
     chats = chats.select("conv_id", pieces.alias("pieces"))
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), F.length(p["tail"]).alias("tail"), p["loss"].alias("loss")))
+    chats = chats.withColumn("sizes", sizes).withColumn("parts", F.transform(_slices(F.col("sizes")), _spans)).withColumn("starts", _starts(F.col("parts")))
+    shifted = lambda part, i: F.transform(part["spans"], lambda s: F.struct((s["start"] + F.get("starts", i)).alias("start"), (s["end"] + F.get("starts", i)).alias("end")))
+    spans = F.flatten(F.transform("parts", shifted))
+    formatted = F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])))
+    return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def _slices(array: Column) -> Column:
+    """An array in pieces of about the root of its size, so that work within pieces and over pieces grows as size to 1.5."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(array))).cast("int"), F.lit(1))
+    empty = F.filter(F.array(array), lambda x: F.lit(False))
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), ((F.size(array) - 1) / size).cast("int")), lambda i: F.slice(array, i * size + 1, size))).otherwise(empty)
+
+
+def _spans(sizes: Column) -> Column:
+    """The spans under the loss mask in some pieces, counted from their first, and how long they are."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate(
-        "pieces",
+    return F.aggregate(
+        sizes,
         F.struct(F.lit(0).alias("at"), empty.alias("spans")),
         lambda done, p: F.struct(
-            (done["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
+            (done["at"] + p["head"] + p["body"] + p["tail"]).alias("at"),
             F.when(
                 p["loss"],
-                F.concat(
-                    done["spans"],
-                    F.array(
-                        F.struct(
-                            (done["at"] + F.length(p["head"])).alias("start"),
-                            (done["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"),
-                        )
-                    ),
-                ),
+                F.concat(done["spans"], F.array(F.struct((done["at"] + p["head"]).alias("start"), (done["at"] + p["head"] + p["body"]).alias("end")))),
             ).otherwise(done["spans"]).alias("spans"),
         ),
-        lambda done: done["spans"],
     )
-    formatted = F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])))
-    return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def _starts(parts: Column) -> Column:
+    """Where each part starts."""
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda done, p: F.struct((done["at"] + p["at"]).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts")),
+        lambda done: done["starts"],
+    )
 
 
 def parse(chats: DataFrame) -> DataFrame:
@@ -112,5 +129,11 @@ def parse(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    texts = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"])))
-    return chats.withColumns({"turns": turns, "loss_texts": texts})
+    # A place in a string is found by counting from its start, so stretches are cut out first, and texts from these.
+    stretch = F.transform(
+        _slices(F.col("loss_spans")),
+        lambda s: F.struct(s.alias("spans"), F.substr("formatted", F.get(s, F.lit(0))["start"] + 1, F.element_at(s, -1)["end"] - F.get(s, F.lit(0))["start"]).alias("text")),
+    )
+    cut = lambda x: F.transform(x["spans"], lambda s: unescape(F.substr(x["text"], s["start"] - F.get(x["spans"], F.lit(0))["start"] + 1, s["end"] - s["start"])))
+    read = chats.withColumns({"turns": turns, "__stretches": stretch})
+    return read.withColumn("loss_texts", F.flatten(F.transform("__stretches", cut))).drop("__stretches")

@@ -7,15 +7,18 @@ siblings. The most likely labelling of the whole tree in which nothing is kept
 inside a dropped element is found bottom up; the blocks of kept elements are
 the text.
 
-The trees are fitted here to pages that a fixed generator writes in many
-layouts, with the article known.
+The trees are fitted to pages that a fixed generator writes in many layouts, with
+the article known. Fitted ones for the default parameters are kept beside this
+module; ``python -m sparkgraph.llm.html_extract`` makes that file anew.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import random
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +227,7 @@ class _Writer:
         if shape < 0.86:
             return f"<h2>{self.text(1, 8)}</h2><p>{text}</p>"
         if shape < 0.90:
-            return r.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format("".join(f"<li>{self.text(2, 25)}</li>" for _ in range(r.randint(2, 6))))
+            return r.choice(["<ul>{}</ul>", "<ol>{}</ol>"]).format("".join(f"<li>{self.item()}</li>" for _ in range(r.randint(1, 6))))
         if shape < 0.93:
             return f"<blockquote>{r.choice(['{}', '<p>{}</p>']).format(text)}</blockquote>"
         if shape < 0.95:
@@ -233,6 +236,18 @@ class _Writer:
             return f"<div>{text}</div>"
         return f"<pre>{text}</pre>" if r.random() < 0.5 else f"<figure><img src=x><figcaption>{self.text(2, 12)}</figcaption></figure>"
 
+    def item(self) -> str:
+        """A point of a list in an article, often a link."""
+        link = f'<a href="/z">{self.text(1, 8)}</a>'
+        return self.r.choice([self.text(2, 25), link, link, f"{link} {self.text(1, 15)}", f"<p>{self.text(2, 20)}</p>", f"<p>{link}</p>"])
+
+    def references(self) -> str:
+        """What a writer puts into or under an article: a list of links without a name, with or without a heading."""
+        r = self.r
+        items = "".join(f'<li><a href="/{i}">{self.text(1, 9)}</a></li>' for i in range(r.randint(1, 7)))
+        made = r.choice(["<ul>{}</ul>", "<ul>{}</ul>", "<ol>{}</ol>"]).format(items)
+        return r.choice(["", "", f"<h2>{self.text(1, 4)}</h2>", f"<h3>{self.text(1, 4)}</h3>", f"<p>{self.text(1, 8)}</p>"]) + made
+
     def article(self) -> str:
         r = self.r
         n = r.choice([0, 1, 1, 2, 3, 5, 8, 14, 25])
@@ -240,6 +255,8 @@ class _Writer:
         for kind, chance in (("advert", 0.2), ("share", 0.15), ("notice", 0.08), ("side", 0.08), ("form", 0.05)):
             if r.random() < chance:
                 parts.insert(r.randint(0, len(parts)), self.outside(kind))
+        if parts and r.random() < 0.3:
+            parts.insert(r.choice([len(parts), r.randint(0, len(parts))]), self.references())
         if r.random() < 0.1:
             parts.append(self.outside("comment"))
         title = f"<h1>{self.text(1, 12)}</h1>" if r.random() < 0.85 or not parts else ""
@@ -300,8 +317,12 @@ def _marked(node: Node) -> bool:
     return False
 
 
-@functools.lru_cache(maxsize=2)
-def fitted(n_pages: int = 1500, seed: int = 11) -> boosting.Trees:
+#: What the kept trees were fitted to: pages and seed of the generator.
+PAGES, SEED = 2500, 11
+STORED = Path(__file__).with_name("html_trees.json")
+
+
+def fit_trees(n_pages: int, seed: int) -> boosting.Trees:
     """Trees fitted to ``n_pages`` written pages."""
     writer, x, y = _Writer(seed), [], []
     for _ in range(n_pages):
@@ -311,6 +332,31 @@ def fitted(n_pages: int = 1500, seed: int = 11) -> boosting.Trees:
     return boosting.fit(np.concatenate(x), np.concatenate(y))
 
 
+def keep_trees(trees: boosting.Trees, path: Path = STORED) -> None:
+    """Write trees with their parameters, a tree a line."""
+    rows = [
+        [f.tolist(), [None if c == np.inf else float(c) for c in cuts], np.round(v, 9).tolist()]
+        for f, cuts, v in zip(trees.feature, trees.cut, trees.value, strict=True)
+    ]
+    text = ",\n".join(json.dumps(row) for row in rows)
+    path.write_text(f'{{"pages": {PAGES}, "seed": {SEED}, "base": {trees.base!r}, "trees": [\n{text}\n]}}\n')
+
+
+def kept_trees(path: Path = STORED) -> boosting.Trees:
+    stored = json.loads(path.read_text())
+    if (stored["pages"], stored["seed"]) != (PAGES, SEED):
+        raise ValueError(f"{path.name} was made with other parameters; run python -m sparkgraph.llm.html_extract")
+    feature, cut, value = zip(*stored["trees"], strict=True)
+    cuts = [[np.inf if c is None else c for c in row] for row in cut]
+    return boosting.Trees(stored["base"], np.array(feature, np.int64), np.array(cuts, float), np.array(value, float))
+
+
+@functools.lru_cache(maxsize=2)
+def fitted(n_pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
+    """The kept trees, or for other parameters than theirs newly fitted ones."""
+    return kept_trees() if (n_pages, seed) == (PAGES, SEED) else fit_trees(n_pages, seed)
+
+
 def _joined(nodes: list[Node], blocks: list[Block], margin: np.ndarray) -> str:
     kept = decode(nodes, margin)
     alive = {id(node) for node, keep in zip(nodes, kept, strict=True) if keep}
@@ -351,3 +397,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", tre
 
     kept = [F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True) if c != out_col]
     return given.mapInArrow(run, schema).select(*kept, F.col("__text").alias(out_col))
+
+
+if __name__ == "__main__":
+    keep_trees(fit_trees(PAGES, SEED))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from conftest import ODD, SMALL, words
+from pyspark.sql import functions as F
 
 from sparkgraph.llm import html_extract
 from sparkgraph.llm.chat import format_chats, parse
@@ -184,6 +185,85 @@ def test_written_layouts():
     assert right >= 185
 
 
+def test_kept_trees_are_those_of_the_generator():
+    """The stored file is what its generator gives."""
+    kept, again = html_extract.kept_trees(), html_extract.fit_trees(html_extract.PAGES, html_extract.SEED)
+    assert (kept.feature == again.feature).all() and np.allclose(kept.cut, again.cut) and np.allclose(kept.value, again.value, atol=1e-8)
+    assert html_extract.fitted() is html_extract.fitted()
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<ul><li><a href=/a>One resource</a></li><li><a href=/b>Two resource</a></li></ul>", "One resource\nTwo resource"),
+        ("<ul><li><a href=/a>Only resource</a></li></ul>", "Only resource"),
+        ("<ol><li><a href=/a>First</a> and more words here</li><li>Second</li></ol>", "First and more words here\nSecond"),
+        ("<h2>Sources</h2><ul><li><a href=/a>A paper</a></li><li><a href=/b>A book</a></li></ul>", "Sources\nA paper\nA book"),
+        ("<p><a href=/a>All of this is one link</a></p>", "All of this is one link"),
+        ("<blockquote><p>Said so.</p></blockquote>", "Said so."),
+        ("<table><tr><td>a</td><td>1</td></tr></table>", "a\n1"),
+        ("<figure><img src=x><figcaption>A picture.</figcaption></figure>", "A picture."),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', "<main><article>{}</article></main>"])
+def test_lists_of_links_and_others_inside_an_article_stay(inner, text, wrap):
+    first = "The quick brown fox jumps over the lazy dog, and then it rests. It did so for a while."
+    body = wrap.format(f"<h1>Title here</h1><p>{first}</p>{inner}<p>{first}</p>")
+    links = "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(("Home", "News", "About", "Contact")))
+    page = f"<html><body><nav><ul>{links}</ul></nav>{body}<aside><h3>Related</h3><ul>{links}</ul></aside><footer><p>&copy; 2024 Someone</p></footer></body></html>"
+    want = f"Title here\n{first}\n{text}\n{first}"
+    assert html_extract.main_texts([page], html_extract.fitted()) == [want]
+
+
+def test_long_conversations(spark):
+    """Work on a conversation of 50,000 turns grows far below the square of its turns."""
+    n = 50_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <"), F.col("id").cast("string")).alias("text"))
+    (row,) = parse(format_chats(turns)).collect()
+    assert [(t.role, t.text) for t in row.turns] == [("user" if i % 3 == 0 else "assistant", f"text <{i}") for i in range(n)]
+    assert row.loss_texts == [f"text <{i}" for i in range(n) if i % 3]
+    assert [row.formatted[s.start : s.end] for s in row.loss_spans] == [f"text &lt;{i}" for i in range(n) if i % 3]
+
+
+def test_benchmark_of_5_megabytes(spark, monkeypatch):
+    """One scan, with nothing of the benchmark sent to the driver; the hits are those of a dictionary of all runs."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    r = random.Random(8)
+    known = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    items = [(k, " ".join(r.choice(known) for _ in range(r.choice([5, 40, 400])))) for k in range(6500)]
+    assert sum(len(t) for _, t in items) > 5_000_000
+    docs = []
+    for k in range(60):
+        parts = [" ".join(r.choice(known) for _ in range(r.randint(0, 60)))]
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(items)[1].split()
+            a = r.randrange(len(w))
+            parts += [" ".join(w[a : a + r.randint(3, 40)]), " ".join(r.choice(known) for _ in range(r.randint(0, 20)))]
+        docs.append((k, " ".join(parts).upper()))
+    runs: dict = {}
+    for ident, text in items:
+        w = text.split()
+        for i in range(max(1, len(w) - 12)):
+            runs.setdefault(tuple(w[i : i + 13]), set()).add(str(ident))
+    want = {}
+    for k, text in docs:
+        w, hit, found = norm(text), set(), set()
+        for i in range(len(w)):
+            for size in (5, 13):
+                if (ids := runs.get(tuple(w[i : i + size]))) and len(w[i : i + size]) == size:
+                    hit |= set(range(i, i + size))
+                    found |= ids
+        want[k] = (len(w), len(hit), sorted(found))
+    monkeypatch.setattr(Frame, "toLocalIterator", None)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    for size in (1 << 20, 128 << 20):
+        out = decontaminate(frame, table, shard_bytes=size)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: (r.bench.n_words, r.bench.n_hit, r.bench["items"]) for r in out.collect()} == want
+
+
 def test_decoding_is_consistent():
     nodes, _ = read("<div><p>a</p><p>b</p></div><nav><p>c</p></nav>")
     margin = np.array([0, 2, -1, 3, -6, 5.0])[: len(nodes)]
