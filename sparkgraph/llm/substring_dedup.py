@@ -15,6 +15,8 @@ anchor, and documents need only be joined on anchors.
 4. Overlapping repeats are merged to maximal spans and cut out.
 
 All groups are counted before or at the shuffle; no pairs of places are made.
+Rows of one id and text share a key; what is gathered for a key are sets, so that
+a document that is repeated a thousand times has its places and spans once.
 Texts move only for documents that need step 3 or 4, found by a bitmap of
 fixed size (which may let others pass, never hold one back).
 """
@@ -144,7 +146,7 @@ class Bitmap:
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
-    """The repeats in ``docs`` (columns ``key``, a long made from id and text, and ``text``).
+    """The repeats in ``docs`` (columns ``key``, a long made from id and text, and ``text``; a key may be repeated).
 
     Returns ``key`` and ``spans``, structs of the first and last word of spans
     that windows of ``length`` words found elsewhere cover; they may overlap,
@@ -170,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFram
     speaks = extended.where("places = 1 OR place = chosen").select(
         "key", F.struct("lo", "n", "anchor", F.when(F.col("places") > 1, 2).otherwise(1).alias("weight")).alias("place")
     )
-    speaks = materialise(speaks.groupBy("key").agg(F.collect_list("place").alias("places")), "speaking")
+    speaks = materialise(speaks.groupBy("key").agg(F.collect_set("place").alias("places")), "speaking")
     texts = Bitmap(speaks, "key").filter(docs.select("key", "text"), "key").join(speaks, "key")
     windows = materialise(texts.mapInArrow(_windows(length), _WINDOWS), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "window")
@@ -181,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFram
         .unionByName(extended.where("places > 1").select("key", whole))
         .unionByName(partly)
     )
-    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
 def _cut(text_at: int, spans_at: int, n_keep: int, schema: pa.Schema):
