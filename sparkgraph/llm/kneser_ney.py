@@ -51,6 +51,9 @@ HELD = 1 << 21
 #: Input bytes for each shard, and parts into which a previous word's successors are dealt.
 SHARD_BYTES, SALT = 16 << 20, 8
 
+#: Bits of a shard's number that tables of words have less. Every shard of pairs sends to every shard of words, so these are few.
+FEWER = 3
+
 #: Passes over the texts that count triples.
 PASSES = 4
 
@@ -86,6 +89,11 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
+def word_bits(bits: int) -> int:
+    """Bits of the shards of words, contexts and successors, which are smaller than the shards of pairs would be."""
+    return max(min(bits, 5), bits - FEWER)
+
+
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Previous word, word and first token of each row (with the total at the end); each row ends in END."""
     n_rows, hashes = len(words.count), words.hashes(lower=True)
@@ -110,12 +118,12 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length in one compressed blob.
 
     64-bit arrays of hashes go as one dictionary and indexes, without these where
-    they count up; counts in the narrowest type that holds them.
+    there is one that counts up; counts in the narrowest type that holds them.
     """
     n = len(arrays[0])
     hashes = [a for a in arrays if a.dtype == np.uint64]
-    values, index = np.unique(np.concatenate(hashes), return_inverse=True)
-    plain = len(hashes) == 1 and len(values) == n and bool((index[1:] > index[:-1]).all())
+    plain = len(hashes) == 1 and bool((hashes[0][1:] > hashes[0][:-1]).all())
+    values, index = (hashes[0], None) if plain else np.unique(np.concatenate(hashes), return_inverse=True)
     counts = [_small(a) for a in arrays if a.dtype != np.uint64]
     out = [np.array((n, len(values), plain, *(c.dtype.itemsize for c in counts)), np.int64).tobytes(), values.tobytes()]
     if not plain:
@@ -156,18 +164,35 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ranked[new], order[new], [np.add.reduceat(v[order], new) if len(new) else v for v in values]
 
 
+@functools.cache
+def _arrow(names: tuple[str, ...]) -> pa.Schema:
+    return to_arrow_schema(_PACKED if names == tuple(_PACKED.names) else _STATS)
+
+
 def _batch(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
-    arrow = to_arrow_schema(schema)
+    arrow = _arrow(tuple(schema.names))
     columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
+#: Bytes of blobs that go in one batch.
+BATCH_BYTES = 4 << 20
+
+
 def _by_shard(kind: int, keys: np.ndarray, bits: int, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Arrays packed by the shards of their keys, some shards to a batch; what is in order by key stays so."""
     shard = shard_of(keys, bits)
-    order = np.argsort(shard, kind="stable")
-    for s, begin, end in _runs(shard[order]):
-        part = order[begin:end]
-        yield _batch(_PACKED, [(s, kind, _pack(*(a[part] for a in arrays)))])
+    order = None if (shard[1:] >= shard[:-1]).all() else np.argsort(shard, kind="stable")
+    rows, size = [], 0
+    for s, begin, end in _runs(shard if order is None else shard[order]):
+        part = slice(begin, end) if order is None else order[begin:end]
+        rows.append((s, kind, _pack(*(a[part] for a in arrays))))
+        size += len(rows[-1][2])
+        if size >= BATCH_BYTES:
+            yield _batch(_PACKED, rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(_PACKED, rows)
 
 
 def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -190,8 +215,9 @@ def _count(bits: int, order: int, passes: int, at: int):
             grams = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             keys, one, (counts,) = _summed(_keys(grams, bits), np.ones(len(grams[0]), np.int64))
-            # Pairs side by side pack better.
-            near = np.argsort(grams[-2][one] >> np.uint64(32) << np.uint64(32) | grams[-1][one] >> np.uint64(32))
+            # Pairs side by side pack better; their shard stays in front.
+            near = (grams[-2][one] >> np.uint64(36) << np.uint64(28) | grams[-1][one] >> np.uint64(36)) >> np.uint64(bits)
+            near = np.argsort(shard_of(keys, bits).astype(np.uint64) << np.uint64(64 - bits) | near if bits else near)
             one = one[near]
             yield from _by_shard(0, keys[near], bits, *(x[one] for x in grams), counts[near])
 
@@ -300,7 +326,7 @@ def _add_pairs(folder: str, bits: int, order: int):
             twice = counts[more] == 2
             held = [twice.astype(np.int64), (~twice).astype(np.int64), np.where(twice, 0, counts[more])]
             contexts, _, held = _summed(pair_keys(grams[0][more], grams[1][more], bits), *held)
-            out += _by_shard(4, contexts, bits, contexts, *held)
+            out += _by_shard(4, contexts, word_bits(bits), contexts, *held)
             del keys, inside, more
             predecessors = np.ones(len(counts), np.int64)
         previous, word = grams[-2:]
@@ -319,8 +345,8 @@ def _add_pairs(folder: str, bits: int, order: int):
         contexts, _, sizes = _summed(previous, *sizes)
         words, _, (seen, different) = _summed(word, counts, np.ones(len(word), np.int64))
         out += [
-            *_by_shard(1, contexts, bits, contexts, *sizes),
-            *_by_shard(2, words, bits, words, seen, different),
+            *_by_shard(1, contexts, word_bits(bits), contexts, *sizes),
+            *_by_shard(2, words, word_bits(bits), words, seen, different),
             _batch(_PACKED, [(-1, 3, np.array(tallies, np.int64).tobytes())]),
         ]
         return pa.Table.from_batches(out)
@@ -412,9 +438,11 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, sh
     try:
         for at in range(passes):
             packed = texts.mapInArrow(_count(bits, order, passes, at), _PACKED)
+            # A task has the shards of a few numbers, however many partitions the session has.
+            packed = packed.repartition(-(-(1 << bits) // passes), "shard")
             packed.groupBy("shard").applyInArrow(_add_pairs(folder, bits, order), _PACKED).write.parquet(f"{parts}/{at}")
         pairs = spark.read.schema(_PACKED).parquet(*[f"{parts}/{at}" for at in range(passes)])
-        stats = pairs.groupBy("shard").applyInArrow(_add_words(folder, order), _STATS)
+        stats = pairs.repartition(1 << word_bits(bits), "shard").groupBy("shard").applyInArrow(_add_words(folder, order), _STATS)
         by_kind = _summed_stats(stats)
     finally:
         spark.conf.set(_CLEANUP, kept)
@@ -443,7 +471,7 @@ class Tables:
         """The columns' counts for each key, 0 where the table lacks it."""
         asked, back = np.unique(keys, return_inverse=True)
         out = [np.zeros(len(asked), np.int64) for _ in columns]
-        bits = self.model.bits
+        bits = self.model.bits if table in ("pair", "triple") else word_bits(self.model.bits)
         for s, begin, end in _runs(shard_of(asked, bits)):
             part = asked[begin:end]
             have = self._array(f"{table}-{s}.key")
