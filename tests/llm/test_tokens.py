@@ -112,3 +112,21 @@ def test_count_frames(odd, none, spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for r in count_tokens(docs, WORDS, out_col="n").collect():
         assert r.n == len(library.encode(r.text, add_special_tokens=False).ids)
+
+
+def test_counts_stretch_by_stretch_are_the_librarys():
+    """Random mixes of plain words, other scripts, marks, odd spaces and special strings; only what is not plain goes to the library."""
+    import random
+
+    r = random.Random(6)
+    library, own = Tokenizer.from_file(WORDS), Counter(WORDS)
+    parts = ["hello", "World's", "naïve", "x\u0301", "\u0301x", "Σίσυφος", "ΟΔΟΣ", "ΟΔΟΣ.", "привет", "🙂", "👨\u200d👩", "日本語", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b",
+             "\u3000", "\u0085", "\xa0", "İ", "ß", "ǅ", "don't", "...", "¿qué?", "12", "٣", "ﬁ", "\u1100\u1161", "e\u0301\u0323", "<|", "|>"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) + r.choice(["", " ", "  ", "\n", "\t", " \r\n"]) for _ in range(r.randint(1, 12)))
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    sent = []
+    own.library = type("Spy", (), {"encode": lambda self, t, **k: sent.append(t) or library.encode(t, **k)})()
+    text = "plain words " * 500 + "🙂 " + "more plain words " * 500 + "привет"
+    assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert sent == ["🙂 привет"]
