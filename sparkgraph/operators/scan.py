@@ -129,10 +129,7 @@ class _TypeScan:
             own = (RDF_TYPE, "iri", self.type.iri, None, -1)
             kinds = ("string", "string", "string", "string", "int")
             plain.append(F.array(F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(own, kinds, ("p", "kind", "lex", "dt", "range"), strict=True)])))
-        name, lex, taken = fresh("t"), fresh("lex"), set(self.names.values())
-        before = [c for c in self.df.columns if c not in taken]
-        # A later scan of the same pattern needs the fields again.
-        before += [c for c in self.df.columns if c in taken]
+        name, lex, before = fresh("t"), fresh("lex"), self.df.columns
         parts = []
         for options in (plain, refs):
             if options:
@@ -149,24 +146,21 @@ class _TypeScan:
 
     def _resolved(self, triples: DataFrame, name: str, lex: str, ranges: dict[tuple[str, ...], int], value: Term) -> DataFrame:
         """References with the IRIs of what they point to; one to nothing is no triple, and of several targets the first counts."""
-        parts = []
+        single, several = [], []
         for targets, number in ranges.items():
             for place, target in enumerate(targets):
                 t = self.context.catalog.type(target)
                 rows = self.context.catalog.rows(self.context.spark, target, ())
-                iri = F.col(t.subject_column).alias("__iri")
-                parts.append(
-                    (number, place, len(targets), rows.select(F.lit(number).alias("__range"), F.col(t.id_column).cast("string").alias("__key"), iri, F.lit(place).alias("__place")))
-                )
-        shown = [rows for *_, rows in parts]
-        found = reduce(DataFrame.union, shown)
-        if any(n > 1 for _, _, n, _ in parts):
-            single = [rows.drop("__place") for _, _, n, rows in parts if n == 1]
-            several = reduce(DataFrame.union, [rows for _, _, n, rows in parts if n > 1])
-            first = several.groupBy("__range", "__key").agg(F.min(F.struct("__place", "__iri")).alias("first")).select("__range", "__key", F.col("first.__iri").alias("__iri"))
-            found = reduce(DataFrame.union, [*single, first])
-        else:
-            found = found.drop("__place")
+                keyed = [F.lit(number).alias("__range"), F.col(t.id_column).cast("string").alias("__key"), F.col(t.subject_column).alias("__iri")]
+                if len(targets) == 1:
+                    single.append(rows.select(*keyed))
+                else:
+                    several.append(rows.select(*keyed, F.lit(place).alias("__place")))
+        if several:
+            first = F.min(F.struct("__place", "__iri")).alias("first")
+            by_key = reduce(DataFrame.union, several).groupBy("__range", "__key").agg(first)
+            single.append(by_key.select("__range", "__key", F.col("first.__iri").alias("__iri")))
+        found = reduce(DataFrame.union, single)
         if isinstance(value, Iri):
             found = found.where(F.col("__iri") == value.value)
         here = (F.col(name)["range"] == F.col("__range")) & (F.col(name)["lex"] == F.col("__key"))
