@@ -127,7 +127,8 @@ class Bitmap:
     """A bitmap over hashed keys with a fixed number of bits, for a cheap first test of membership.
 
     It is a table of at most BITS / 32768 + 1 rows of 4 KiB, which bounds what is
-    broadcast. Building and testing are DataFrame expressions.
+    broadcast. Building and testing are DataFrame expressions. Beyond some 10^8
+    keys nearly all bits are set, and the join behind it does all the work.
     """
 
     def __init__(self, keys: DataFrame, column: str):
