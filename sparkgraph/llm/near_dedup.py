@@ -13,11 +13,18 @@ Candidate pairs are checked exactly on their shingles, and documents linked by
 pairs at or above the threshold form a class (connected components).
 
 No bucket is expanded into all its pairs. First the least member of a bucket is
-compared with the others. Then some members, chosen by hash, then more, then
-all are compared with those after them that are not yet of their class, that no
-earlier band has put beside them, and whose sketch (a longer signature, two
-bits a coordinate, made only for buckets that hold several classes) is not too
-far. So each pair in a bucket is compared, already linked, or far apart.
+compared with the others. Then some members, chosen by hash, and last all are
+compared with the members that are not yet of their class and whose sketch (a
+longer signature, two bits a coordinate, made only for buckets that hold several
+classes) is not too far. So each pair in a bucket is compared, already linked, or
+far apart. A pair that shares several buckets is compared in the first of them.
+
+Between rounds a document is one row that lists its buckets, so that labels and
+sketches are joined once to each document, and buckets of one class are struck
+from the lists by a bitmap, without a shuffle by bucket. In the last round a
+member of a bucket goes to ``MAX_BLOCKS`` tasks at most, however large the bucket
+is; what grows with the square of a bucket is only the comparison of sketches in
+memory, at some 50 ns a pair of members of different classes.
 """
 
 from __future__ import annotations
@@ -37,14 +44,14 @@ from sparkgraph.llm.textvec import RUN, Words, mix, prefix_hash, rows_by_bytes,
 
 #: P(more than i darts) for a Poisson number with mean one.
 _MORE = [1 - sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(16)]
-#: Members of a bucket that are compared with the rest, round by round; the last round is for all.
-ROUNDS = (16, math.inf)
+#: Members of a bucket that have been compared with all others after each round; the last round is for all.
+ROUNDS = (8, math.inf)
 
-#: Members of a large bucket that are compared with as many others in one task.
-BLOCK = 512
+#: Members of a large bucket that are compared with as many others in one task, and the parts that it has at most.
+BLOCK, MAX_BLOCKS = 512, 64
 
-#: Coordinates of a sketch.
-SKETCH = 1024
+#: Coordinates of a sketch, and those that are compared before the others.
+SKETCH, GLANCE = 1024, 256
 
 #: Cells that are looked at side by side.
 CELLS = 1 << 19
@@ -210,22 +217,34 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("key"), pa.ListArray.from_arrays(ends, pa.array(packed.ravel()))], names=["key", "sketch"])
 
 
-def _least_agreement(threshold: float) -> int:
-    """Coordinates in which two sketches must agree; a pair at the threshold fails that once in some 30,000."""
+def _least_agreement(threshold: float, n: int, sigmas: float) -> int:
+    """Of ``n`` coordinates, how many must agree; a pair at the threshold lies below with the chance of so many standard deviations."""
     expected = threshold + (1 - threshold) / 4
-    return math.ceil(SKETCH * expected - 4 * math.sqrt(SKETCH * expected * (1 - expected)))
+    return math.ceil(n * expected - sigmas * math.sqrt(n * expected * (1 - expected)))
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates each pair of sketches agrees."""
+    d = x ^ y
+    apart = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+    return 32 * x.shape[1] - apart
 
 
 def _near(threshold: float):
-    """Pairs of a pack of whole buckets, or of two blocks of a large one: of different classes, met here first, with sketches alike."""
-    least = _least_agreement(threshold)
+    """Pairs of a pack of whole buckets, or of two blocks of a large one: of different classes, met here first, with sketches alike.
+
+    A member that asks is compared with those that do not, and with the asking ones of greater key.
+    """
+    words = GLANCE // 32
+    glance, least = _least_agreement(threshold, GLANCE, 5), _least_agreement(threshold, SKETCH, 4)
 
     def run(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).combine_chunks() for c in table.column_names}
-        bucket, key, label, place, asks, side = (column[c].to_numpy(zero_copy_only=False) for c in ("bucket", "key", "label", "place", "asks", "side"))
+        bucket, key, label, asks, side = (column[c].to_numpy(zero_copy_only=False) for c in ("bucket", "key", "label", "asks", "side"))
         band = column["band"].to_numpy()
-        sketch = column["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
         bands = column["bands"].flatten().to_numpy().reshape(len(key), -1)
+        sketch = column["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+        head = np.ascontiguousarray(sketch[:, :words])
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         out = []
@@ -233,14 +252,14 @@ def _near(threshold: float):
             left, right = rows[asks[rows] & (side[rows] != 1)], rows[side[rows] != 0]
             for i in range(0, len(left), 64):
                 x = left[i : i + 64]
-                after = (place[right] > place[x][:, None]) | ((place[right] == place[x][:, None]) & (key[right] > key[x][:, None]))
-                a, b = np.nonzero(after & (label[right] != label[x][:, None]))
+                a, b = np.nonzero((~asks[right] | (key[right] > key[x][:, None])) & (label[right] != label[x][:, None]))
                 a, b = x[a], right[b]
                 for j in range(0, len(a), 1 << 15):
                     p, q = a[j : j + (1 << 15)], b[j : j + (1 << 15)]
-                    d = sketch[p] ^ sketch[q]
-                    apart = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
-                    p, q = p[SKETCH - apart >= least], q[SKETCH - apart >= least]
+                    like = _agree(head[p], head[q]) >= glance
+                    p, q = p[like], q[like]
+                    like = _agree(sketch[p], sketch[q]) >= least
+                    p, q = p[like], q[like]
                     met = (bands[p] == bands[q]).argmax(1) == band[p]
                     out.append((key[p[met]], key[q[met]]))
         x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
@@ -250,21 +269,26 @@ def _near(threshold: float):
 
 
 def _pairs(rows: DataFrame, begin: float, end: float, threshold: float) -> DataFrame:
-    """Pairs to verify among the members of each bucket in ``rows``, where those placed in [begin, end) ask the others."""
-    rows = rows.withColumn("asks", (F.col("place") >= begin) & (F.lit(end == math.inf) | (F.col("place") < (end if end < math.inf else 0.0))))
+    """Pairs to verify among the members of each bucket in ``rows``: of those placed in [begin, end) by hash and all placed there or later."""
+    place, last = F.pmod(F.xxhash64("key", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size"), end == math.inf
+    rows = rows.where(place >= begin).withColumn("asks", F.lit(True) if last else place < end)
     packs = max(1, rows.count() // 2048)
-    small = rows.where(F.col("size") <= BLOCK).select(
+    large = F.col("size") > BLOCK
+    few = rows.where(~large).select(
         F.lit(False).alias("large"), F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), *rows.columns
     )
-    large = rows.where(F.col("size") > BLOCK)
-    asking = F.least(F.col("size"), F.lit(end)) if end < math.inf else F.col("size")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    mine = lambda n: F.pmod(F.xxhash64("key"), blocks(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    one = (F.lit(True).alias("large"), F.col("bucket").alias("g"))
-    x = large.where("asks").select(*one, mine(asking).alias("i"), every(F.col("size")).alias("j"), F.lit(0).alias("side"), *rows.columns)
-    y = large.select(*one, every(asking).alias("i"), mine(F.col("size")).alias("j"), F.lit(1).alias("side"), *rows.columns)
-    return small.unionByName(x).unionByName(y).groupBy("large", "g", "i", "j").applyInArrow(_near(threshold), "x long, y long")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.least(blocks, F.lit(MAX_BLOCKS)) if last else blocks
+    own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
+    many = rows.where(large).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)) if last else F.lit(0))
+    one, given = (F.lit(True).alias("large"), F.col("bucket").alias("g")), [c for c in rows.columns if c != "asks"]
+    if last:  # block i meets block j in the cell (i, j) with i up to j, where those of i ask
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        cells = many.select(*one, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), *given, (F.col("own") <= F.col("other")).alias("asks"))
+    else:  # the asking ones go to all blocks
+        every = rows.where(large & F.col("asks")).select(*one, F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(0).alias("side"), *given, "asks")
+        cells = many.select(*one, F.lit(0).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *given, "asks").unionByName(every)
+    return few.unionByName(cells).groupBy("large", "g", "i", "j").applyInArrow(_near(threshold), "x long, y long")
 
 
 def near_dedup(
@@ -290,7 +314,8 @@ def near_dedup(
     ``xxhash64`` of id and text, to find the row again.
 
     At the threshold itself, 25 bands of 5 miss a pair with a chance of 5e-5,
-    and the sketches that are compared before the shingles with one of 3e-5.
+    and the sketches that are compared before the shingles with one of 4e-5
+    (that it is taken to share an earlier band, by 32 bits: 6e-9).
     Documents without words (null or empty too) are each their own class. Of
     rows with the same id and text one is kept; a null id counts as smallest.
     An empty table gives an empty result.
@@ -306,42 +331,42 @@ def near_dedup(
 
     # Texts of the same words are one node, named by the key of its least row.
     worded = signed.where("n_words > 0")
-    nodes = materialise(worded.groupBy("copy1", "copy2").agg(F.min(F.struct("doc_id", "row", "key")).alias("first")).select("copy1", "copy2", "first.key", "first.row"), "nodes")
-    node_bands = signed.join(nodes.select("row"), "row", "left_semi").select("key", F.posexplode("bands").alias("band", "bucket"))
-    node_bands = materialise(node_bands, "bands")
-    own_bands = signed.join(nodes.select("row"), "row", "left_semi").select("key", "bands")
-    buckets = materialise(node_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).where("size > 1"), "buckets")
-    members = materialise(node_bands.join(buckets, "bucket"), "members")
-    asked = members.select("key").distinct()
+    first = F.min(F.struct("doc_id", "row", "key", "bands")).alias("first")
+    nodes = materialise(worded.groupBy("copy1", "copy2").agg(first).select("copy1", "copy2", "first.key", "first.bands"), "nodes")
+    bands = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("leader")).where("size > 1")
+    # One row a document, with its buckets (n_bands at most); those that are its own alone are left out.
+    bucket = F.struct("band", "bucket", "size", "leader")
+    members = materialise(bands.join(buckets, "bucket").groupBy("key").agg(F.collect_list(bucket).alias("buckets")), "members")
+    asked = members.select("key")
     sets = Bitmap(asked, "key").filter(source.select("key", "text"), "key").join(asked, "key", "left_semi")
     sets = sets.mapInArrow(_sets(shingle, counted), "key long, elements array<long>")
     sets = materialise(sets.dropDuplicates(["key"]), "shingle-sets")
 
-    labels = materialise(asked.select("key", F.col("key").alias("label")), "labels")
-    checked = None
-    links = None
-    sketches = None
-    for turn in range(len(ROUNDS) + 1):
-        if turn == 0:
-            pairs = members.where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y"))
+    labels = asked.select("key", F.col("key").alias("label"))
+    checked = links = sketches = None
+    for begin, end in zip((None, 0.0, *ROUNDS), (None, *ROUNDS), strict=False):
+        if begin is None:
+            pairs = members.select(F.col("key").alias("y"), F.explode("buckets.leader").alias("x")).where("x <> y")
         else:
-            labelled = members.join(labels, "key")
-            # A bucket goes on while it has two classes.
-            split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            labelled = materialise(labelled.join(split, "bucket"), "labelled")
-            members = labelled.drop("label")
+            in_bucket = members.join(labels, "key").select("key", "label", F.inline("buckets"))
+            # A bucket goes on while it has two classes; the bitmap may let others pass, which then give no pairs.
+            split = in_bucket.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+            mixed = Bitmap(split, "bucket").filter(in_bucket.where((F.col("key") != F.col("leader")) & (F.col("size") > begin)), "bucket")
+            mixed = materialise(mixed.groupBy("key", "label").agg(F.collect_list(bucket).alias("buckets")), "mixed")
+            members = mixed.select("key", "buckets")
+            if not members.limit(1).count():
+                break
             if sketches is None:
-                mixed = labelled.select("key").distinct()
-                sketches = sets.join(mixed, "key").mapInArrow(_sketch, "key long, sketch array<long>").join(own_bands, "key")
-                sketches = materialise(sketches, "sketches")
-            place = F.pmod(F.xxhash64("key", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-            others = labelled.where("key <> leader").join(sketches, "key").withColumn("place", place)
-            begin = float(ROUNDS[turn - 2]) if turn > 1 else 0.0
-            pairs = _pairs(others.drop("leader"), begin, ROUNDS[turn - 1], threshold)
+                short = nodes.select("key", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands"))
+                sketches = sets.join(members.select("key"), "key").mapInArrow(_sketch, "key long, sketch array<long>")
+                sketches = materialise(sketches.join(short, "key"), "sketches")
+            rows = mixed.join(sketches, "key").select("key", "label", "sketch", "bands", F.inline("buckets")).drop("leader")
+            pairs = _pairs(rows, begin, end, threshold)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = materialise(_verified(materialise(pairs, "pairs"), sets, threshold), "compared")
+        found = materialise(_verified(pairs, sets, threshold), "compared")
         checked = found.select("a", "b") if checked is None else checked.unionByName(found.select("a", "b"))
         new = found.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
@@ -354,11 +379,6 @@ def near_dedup(
             labels = materialise(
                 labels.join(moved, labels["label"] == moved["node"], "left").select("key", F.coalesce("to", "label").alias("label")), "labels"
             )
-        # Smaller buckets have had all their members compared.
-        members = members.where(F.col("size") > (float(ROUNDS[turn - 1]) if turn else 2.0))
-        if not members.limit(1).count():
-            break
-
     n_links = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     named = materialise(
         nodes.select("copy1", "copy2", "key").join(labels, "key", "left").join(n_links, "key", "left")
