@@ -24,7 +24,7 @@ def _sha(column) -> F.Column:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_documents(spark, sf_dir)).drop("key")
+    return near_dedup.near_dedup(_documents(spark, sf_dir), weighting="count").drop("key")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
