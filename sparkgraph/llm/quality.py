@@ -42,7 +42,7 @@ BITS = 20
 MAX_TRAIN = 12_000
 
 #: Bytes of text whose features are made at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: How often a human label is taken to be right.
 HUMAN_ACCURACY = 0.99

@@ -76,13 +76,13 @@ def local_path(uri: str) -> str | None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers in batches of 2,000 rows, where the session has the default of 10,000.
+    """Send texts to Python workers in batches of 1,000 rows, where the session has the default of 10,000.
 
     A batch is held on both sides at once; whole texts are thousands of bytes each.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+        spark.conf.set(key, "1000")
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at once; bounds the working arrays.
+#: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 
+#: Bytes whose words are hashed at once; a byte takes 8 in each of four arrays then, and in the two tables of powers, of 2**18 entries.
+PIECE = (1 << 18) - 2
+
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -157,9 +160,9 @@ class Words:
         """A 64-bit hash of each word, or of its first ``head`` bytes; ``lower`` folds A-Z first."""
         table = _BYTE[_LOWER] if lower else _BYTE
         out = np.empty(len(self), np.uint64)
-        i = 0
+        i, step = 0, min(CHUNK, PIECE)
         while i < len(self):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, "right")))
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + step, "right")))
             base = self.start[i]
             prefix = prefix_hash(table[self.data[base : self.end[j - 1]]], BASE)
             end = self.end[i:j] if head is None else np.minimum(self.end[i:j], self.start[i:j] + head)
