@@ -45,7 +45,7 @@ from sparkgraph.llm.textvec import RUN, Words, mix, prefix_hash, rows_by_bytes,
 #: P(more than i darts) for a Poisson number with mean one.
 _MORE = [1 - sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(16)]
 #: Members of a bucket that have been compared with all others after each round; the last round is for all.
-ROUNDS = (8, math.inf)
+ROUNDS = (4, 32, math.inf)
 
 #: Members of a large bucket that are compared with as many others in one task, and the parts that it has at most.
 BLOCK, MAX_BLOCKS = 512, 64
