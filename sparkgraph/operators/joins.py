@@ -68,6 +68,46 @@ def _condition(context: Context, a: Solution, b: Solution, var: Var) -> tuple[So
     return a, b, equal
 
 
+#: A join on values is dealt to a part for so many bytes of the tables that it reads, and to so many parts at most.
+PART_BYTES, MOST_PARTS = 128 << 10, 4096
+
+
+def _bytes(df: DataFrame) -> int | None:
+    """The size of the files that a frame reads; None where Spark does not know it before running. No job is started."""
+    if df.isStreaming:
+        return None
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
+
+
+def _dealt(context: Context, a: Solution, b: Solution, shared: list[Var]) -> tuple[DataFrame, DataFrame]:
+    """The sides of a join; of a large one that compares literals only, the larger side first and both in more parts.
+
+    A literal may stand in many rows of both sides, so that there are far more
+    pairs than rows, and Spark, which packs parts by the bytes they read, would
+    give one task the pairs of hundreds of values. A merge join holds the second
+    side's rows of a value and goes through them for each row of the first: with
+    the larger side first it holds less, and a file of the result, which then has
+    few values, takes little space, since the first side's terms come in long
+    runs and the others in short rounds. Floating numbers are left to Spark,
+    which deals them by another form of the value.
+    """
+    pairs = [(a.bindings[v], b.bindings[v]) for v in shared]
+    if not pairs or any(not x.kind == y.kind == "val" or x.value_kind != y.value_kind or x.value_kind in ("float", "double") or x.optional or y.optional for x, y in pairs):
+        return a.df, b.df
+    left, right = _bytes(a.df), _bytes(b.df)
+    state = context.spark._jsparkSession.sessionState().conf()
+    if left is None or right is None or min(left, right) <= state.autoBroadcastJoinThreshold():
+        return a.df, b.df
+    parts = min((left + right) // PART_BYTES, MOST_PARTS)
+    if parts <= state.numShufflePartitions():
+        return a.df, b.df
+    one = a.df.repartition(parts, *(x.column for x, _ in pairs))
+    other = b.df.repartition(parts, *(y.column for _, y in pairs))
+    return (one, other) if left >= right else (other, one)
+
+
 def join(context: Context, a: Solution, b: Solution, broadcast: bool = False) -> Solution:
     """All compatible pairs; a variable that an optional side leaves unbound takes the other's value."""
     shared = [v for v in a.bindings if v in b.bindings]
@@ -75,8 +115,8 @@ def join(context: Context, a: Solution, b: Solution, broadcast: bool = False) ->
     for var in shared:
         a, b, equal = _condition(context, a, b, var)
         conditions.append(equal)
-    right = F.broadcast(b.df) if broadcast else b.df
-    df = a.df.join(right, reduce(Column.__and__, conditions), "inner") if conditions else a.df.crossJoin(right)
+    left, right = (a.df, F.broadcast(b.df)) if broadcast else _dealt(context, a, b, shared)
+    df = left.join(right, reduce(Column.__and__, conditions), "inner") if conditions else left.crossJoin(right)
     bindings = {**b.bindings, **a.bindings}
     for var in shared:
         x, y = a.bindings[var], b.bindings[var]
